@@ -28,12 +28,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     "op5_minhash_near_dedup",
     r"""
     with recursive words as (
-        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x != '') as w
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') as w
         from documents),
     sh as (
         select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[]
             when len(w) < 3 then [array_to_string(w, ' ')]
-            else list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+            else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
         from words),
     n as (select doc_id, count(*) as n from sh group by doc_id),
     rare as (select *, count(*) over (partition by s) as f from sh),
