@@ -53,3 +53,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_substring_dedup",
+    r"""
+    with words as (
+        select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') as w from documents),
+    win as (
+        select doc_id, unnest(range(1, len(w) - 48)) as p, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' ')))) as h
+        from words where len(w) >= 50),
+    firsts as (select h, min(doc_id) as d from win group by h),
+    gone as (select distinct doc_id, unnest(range(p, p + 50)) as p from win join firsts using (h) where firsts.d < win.doc_id),
+    all_words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from words),
+    kept as (
+        select doc_id, string_agg(x, ' ' order by a.p) as t, count(*) as n
+        from all_words a anti join gone g on a.doc_id = g.doc_id and a.p = g.p group by doc_id)
+    select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from words left join kept using (doc_id)
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
