@@ -77,3 +77,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit
+
+    return best_fit(read(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing_ipf")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
