@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, components
+from .runtime import Scratch, components, small_or_not
 from .words import U, Block, blocks, mix
 
 SMALL_BUCKET = 32
@@ -273,8 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = scratch.table(pairs, "pairs")
         many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 256).cast("int").alias("salts"))
         pairs = pairs.join(many, "a").withColumn("salt", F.expr("cast(pmod(xxhash64(b), salts) as int)"))
-        wanted = pairs.select(F.col("a").alias("id"), "salt").union(pairs.select(F.col("b").alias("id"), F.lit(0))).distinct()
-        found = scratch.table(docs.join(wanted, "id").select("id", "salt", "text"), "texts")
+        wanted = scratch.table(pairs.select(F.col("a").alias("id"), "salt").union(pairs.select(F.col("b").alias("id"), F.lit(0))).distinct(), "wanted")
+        found = scratch.table(docs.join(small_or_not(wanted), "id").select("id", "salt", "text"), "texts")
         left = found.select(F.col("id").alias("a"), "salt", F.col("text").alias("text_a"))
         right = found.where("salt = 0").select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         ready = pairs.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = open_.where(f"m > {SMALL_BUCKET}")
     main = large.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
     parts = large.join(main, "key").withColumn("nb", F.ceil(F.col("all") / BLOCK_ROWS).cast("int")).withColumn("np", F.ceil((F.col("all") - F.col("most")) / BLOCK_ROWS).cast("int"))
-    sets = scratch.table(docs.join(large.select("id").distinct(), "id").mapInArrow(set_of(width), "id long, set binary"), "sets")
+    wanted = small_or_not(scratch.table(large.select("id").distinct(), "wanted"))
+    sets = scratch.table(docs.join(wanted, "id").mapInArrow(set_of(width), "id long, set binary"), "sets")
     parts = parts.join(sigs, "id").join(sets, "id")
     cols = ["id", "comp", "sig", "set"]
     members = parts.select("key", F.expr("cast(pmod(xxhash64(id), nb) as int)").alias("j"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("i"), *cols, F.lit(False).alias("probe"))

@@ -50,6 +50,17 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+SMALL_ROWS = 500_000
+
+
+def small_or_not(keys: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast when it is counted small.
+
+    Beyond the limit Spark shuffles both sides of the join as usual.
+    """
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph: (node, component).
 

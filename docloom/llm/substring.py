@@ -29,12 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import Scratch
+from .runtime import SMALL_ROWS, Scratch, small_or_not
 from .words import U, Block, blocks, mix, powers, runs
 
-SMALL_ROWS = 500_000  # of three numbers each: what is broadcast is counted first
-
-
 def whole_prints(block: Block, hashes: np.ndarray, seed: int) -> np.ndarray:
     """A fingerprint of the word sequence of each text."""
     up, down = powers(len(hashes) + 1, 50 + seed)
@@ -157,8 +154,7 @@ class FingerprintIndex:
 
     def _without(self, docs: DataFrame, copies: DataFrame) -> DataFrame:
         """Documents but for copies; the list of copies is broadcast only when it is short."""
-        small = copies.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-        return docs.join(F.broadcast(copies) if small else copies, "id", "left_anti")
+        return docs.join(small_or_not(copies), "id", "left_anti")
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Word ranges to remove: (id, tag, lo, hi); tag tells texts of one id apart."""
