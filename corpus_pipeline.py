@@ -1,15 +1,73 @@
-"""Corpus pipeline; its stages are filled in below as their operators appear."""
+"""Corpus pipeline: quality rules, near-dedup, substring dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``.  ``run`` applies them in order, each to the written result of the
+one before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm.minhash import near_duplicates
+from docloom.llm.mixing import mix
+from docloom.llm.packing import best_fit
+from docloom.llm.quality import keep_good
+from docloom.llm.runtime import Scratch, small_or_not
+from docloom.llm.substring import remove_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base rules or the learned decision list reject."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group linked at 0.8 or more on five-word shingles.
+
+    Rows with a null id stay; of rows that repeat a kept id one stays.
+    """
+    scratch = Scratch(spark, "near")
+    judged = scratch.table(near_duplicates(docs, width=5, num=80, den=100, bands=28).select("doc_id", "kept"), "judged")
+    gone = scratch.table(judged.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(small_or_not(gone), "doc_id", "left_anti")
+    again = scratch.table(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        again = small_or_not(again)
+        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of 50 words or more that a document with a smaller id also has.
+
+    A document that loses all its words goes.
+    """
+    cut = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    text = F.coalesce(F.col("kept_text"), F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents by probabilities raked to source, language and topic targets."""
+    return mix(docs).where("sampled").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs documents into sequences: one row per piece."""
+    return best_fit(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
 
-STAGES: list = []
+#: Learned rules, near duplicates and sampling are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs

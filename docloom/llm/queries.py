@@ -98,3 +98,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
+@query("op8_language_mixture")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
