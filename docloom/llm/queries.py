@@ -112,3 +112,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query(
+    "op10_cover_tree_embeddings",
+    r"""
+    with recursive v as (
+        select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+          and len(list_filter(embedding, lambda x: x != 0)) > 0),
+    links as (
+        select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id < y.vec_id
+        where list_cosine_similarity(x.e, y.e) >= 0.93),
+    both_ways as (select a, b from links union all select b, a from links),
+    reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, e.b from reach r join both_ways e on r.y = e.a),
+    comp as (select x as vec_id, min(y) as component_id from reach group by x),
+    n as (select a as vec_id, count(*) as n from both_ways group by a)
+    select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+    from embeddings e join comp c using (vec_id) left join n using (vec_id)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covertree import near_embeddings
+
+    return near_embeddings(read(spark, sf_dir, "embeddings"))
