@@ -136,3 +136,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .covertree import near_embeddings
 
     return near_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op3_warc_salvage",
+    r"""
+    with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+    o as (select *, max(page_id) over (partition by t) as last from p)
+    select page_id, strlen(t)::bigint as payload_bytes,
+        array_to_string(list_transform(range(32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((('0x' || substring(h, (1 + 10 * (k // 8))::int, 10))::ubigint >> (35 - 5 * (k % 8))::ubigint) & 31) + 1)::int, 1)), '') as payload_digest,
+        case when page_id < last then 'revisit' else 'response' end as record_type,
+        case when page_id < last then last end as refers_to
+    from o
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op4_url_association_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge
+
+    return judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
