@@ -162,3 +162,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlrules import judge
 
     return judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+@query("op1_pitman_yor_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitmanyor import score
+
+    return score(read(spark, sf_dir, "documents"))
