@@ -4,7 +4,550 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import checksums as C
+from ..functions import spans as S
+from ..functions.entities import RULES
+from ..operators import chunk as chunking
+from ..operators import cite, evaluate, federate, govern, redact, retrieve
+from ..operators.detect import counts_by, detect
+from ..sources import extract
+from ..streaming import loops
+from .scope import SCOPE_SQL, scoped, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+COMMON = ("EMAIL", "IP", "BANK_CARD")
+TEST_KEY = redact.scoped_key("test", "0", "0")
+PHRASE = "of the"
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle.replace("{SCOPE}", SCOPE_SQL).replace("{CHUNKS}", CHUNKS_SQL)
+        return f
+
+    return add
+
+
+#: Stand-in for the chunk table: every line of a document is a chunk.
+CHUNKS_SQL = f"""
+    select document_id, tenant_id, matter_id, data_level, sanitization_state, i - 1 as chunk_index, parts[i] as content
+    from (select *, string_split(text, chr(10)) as parts from ({SCOPE_SQL})), unnest(range(1, len(parts) + 1)) as t(i)
+"""
+
+
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scoped(spark, sf_dir)
+    return rows.select("document_id", "tenant_id", "matter_id", "data_level", "sanitization_state", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+# --- identifiers -------------------------------------------------------------------------
+
+
+@query("leak_audit_by_source")
+def leak_audit(spark, sf_dir):
+    """Identifiers found, and left after redaction, by source and class."""
+    done = redact.sanitize(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), TEST_KEY, codes=COMMON)
+    both = done.select("source", F.explode(F.concat(F.transform("matches", lambda m: F.struct(m["entity"].alias("entity"), F.lit(0).alias("left"))), F.transform("residue", lambda m: F.struct(m["entity"].alias("entity"), F.lit(1).alias("left"))))).alias("m"))
+    return both.groupBy("source", F.col("m.entity").alias("entity")).agg(F.count_if(F.col("m.left") == 0).alias("found"), F.count_if(F.col("m.left") == 1).alias("residual"))
+
+
+def _count_sql(pattern: str, guard: bool) -> str:
+    """Counts of bounded hits: other characters doubled so that neighbours share none."""
+    text = r"regexp_replace(text, '([^0-9A-Za-z])', '\1\1', 'g')" if guard else "text"
+    re_ = f"(?:^|[^0-9A-Za-z])(?:{pattern})(?:[^0-9A-Za-z]|$)" if guard else pattern
+    return f"select doc_id, len(regexp_extract_all({text}, '{re_}'))::bigint as found from documents where len(regexp_extract_all({text}, '{re_}')) > 0"
+
+
+def _found(spark, sf_dir, code):
+    rows = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), codes=[code]).select("doc_id", F.size("matches").cast("long").alias("found"))
+    return rows.where("found > 0")
+
+
+@query("detect_email", _count_sql(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", False))
+def detect_email(spark, sf_dir):
+    return _found(spark, sf_dir, "EMAIL")
+
+
+@query("detect_card")
+def detect_card(spark, sf_dir):
+    return _found(spark, sf_dir, "BANK_CARD")
+
+
+@query(
+    "detect_card_plain",
+    r"""
+    with runs as (select doc_id, trim(unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '([^0-9A-Za-z])', '\1\1', 'g'), '(?:^|[^0-9A-Za-z])([0-9]{12,19})(?:[^0-9A-Za-z]|$)', 1))) as v from documents)
+    select doc_id, v as value from runs where regexp_matches(v, '^[2-6][0-9]{12,18}$')
+    """,
+)
+def detect_card_plain(spark, sf_dir):
+    """Our variant on the original text, without gluing across separators."""
+    hits = F.regexp_extract_all("text", F.lit("(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("value")).where(C.card_shape(F.col("value")))
+
+
+@query(
+    "luhn_flags",
+    r"""
+    with k as (select o_orderkey, lpad(((o_orderkey * 7919 + 4000000000000000))::varchar, 16, '0') as number from orders),
+    d as (select o_orderkey, number, list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 1
+        then (substring(number, i, 1)::int * 2) // 10 + (substring(number, i, 1)::int * 2) % 10 else substring(number, i, 1)::int end)) as s from k)
+    select o_orderkey, number, s % 10 = 0 as luhn, regexp_matches(number, '^[2-6][0-9]{12,18}$') as card from d
+    """,
+)
+def luhn_flags(spark, sf_dir):
+    number = F.lpad((F.col("o_orderkey") * 7919 + 4000000000000000).cast("string"), 16, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", number.alias("number")).select("o_orderkey", "number", C.luhn(F.col("number")).alias("luhn"), C.card_shape(F.col("number")).alias("card"))
+
+
+@query(
+    "checksum_ids",
+    r"""
+    with k as (select c_custkey, concat('110105', 1940 + c_custkey % 80, lpad((1 + c_custkey % 12)::varchar, 2, '0'), lpad((1 + c_custkey % 31)::varchar, 2, '0'), lpad((c_custkey % 1000)::varchar, 3, '0')) as body from customer),
+    w as (select *, list_sum(list_transform(range(1, 18), lambda i: substring(body, i, 1)::int * ([7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2])[i])) % 11 as r from k),
+    f as (select *, concat(body, substring('10X98765432', (case when c_custkey % 3 = 0 then (r + 1) % 11 else r end)::int + 1, 1)) as number from w),
+    g as (select *, try_strptime(substring(number, 7, 8), '%Y%m%d') is not null as dated from f)
+    select c_custkey, number, dated as shape, dated and c_custkey % 3 != 0 as valid from g
+    """,
+)
+def checksum_ids(spark, sf_dir):
+    k = F.col("c_custkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    number = F.concat(F.lit("110105"), (1940 + k % 80).cast("string"), two(1 + k % 12), two(1 + k % 31), F.lpad((k % 1000).cast("string"), 3, "0"))
+    total = sum((F.substring("body", i + 1, 1).cast("int") * w for i, w in enumerate(C.ID_WEIGHTS)), F.lit(0)) % 11
+    rest = F.when(k % 3 == 0, (total + 1) % 11).otherwise(total)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", number.alias("body")).withColumn("number", F.concat("body", F.substring(F.lit(C.ID_CHECK), rest + 1, F.lit(1))))
+    return rows.select("c_custkey", "number", C.resident_id_shape(F.col("number")).alias("shape"), C.resident_id_valid(F.col("number")).alias("valid"))
+
+
+CODE_CASES = ("91350100M000100Y43", "91350100M000100Y44", "11110105MA01ABCDE1", "A1350100M000100Y43", "9135010OM000100Y43", "")
+
+
+@query(
+    "checksum_codes",
+    "with v(code) as (values " + ", ".join(f"('{c}')" for c in CODE_CASES) + r"""),
+    s as (select code, regexp_matches(code, '^[0-9A-HJ-NPQRTUWXY]{17}.$') as ok, list_sum(list_transform(range(1, 18), lambda i: (instr('0123456789ABCDEFGHJKLMNPQRTUWXY', substring(code, i, 1)) - 1) *
+        ([1, 3, 9, 27, 19, 26, 16, 17, 20, 29, 25, 13, 8, 24, 10, 30, 28])[i])) % 31 as r from v)
+    select code, regexp_matches(code, '^[159Y][0-9A-HJ-NPQRTUWXY][0-9]{6}[0-9A-HJ-NPQRTUWXY]{10}$') as shape,
+        ok and substring(code, 18, 1) = substring('0123456789ABCDEFGHJKLMNPQRTUWXY', ((31 - r) % 31)::int + 1, 1) as valid from s
+    """,
+)
+def checksum_codes(spark, sf_dir):
+    rows = spark.createDataFrame([(c,) for c in CODE_CASES], "code string")
+    return rows.select("code", C.credit_code_shape(F.col("code")).alias("shape"), C.credit_code_valid(F.col("code")).alias("valid"))
+
+
+@query("detect_all_classes")
+def detect_all_classes(spark, sf_dir):
+    """Every rule over every document, counted by language and class."""
+    return counts_by(detect(table(spark, sf_dir, "documents").select("lang", "text")), "lang")
+
+
+@query("redact_restore_roundtrip")
+def roundtrip(spark, sf_dir):
+    done = redact.redact(detect(table(spark, sf_dir, "documents").select("doc_id", "text"), codes=COMMON), TEST_KEY)
+    vault = done.withColumn("vault", redact.mapping(F.col("applied")))
+    back = redact.restore(F.col("redacted"), F.col("vault"))
+    return vault.select("doc_id", F.size("applied").alias("applied"), F.sha2("redacted", 256).alias("redacted_sha256"), (back == F.col("text")).alias("restored"))
+
+
+@query("sanitize_ledger")
+def sanitize_ledger(spark, sf_dir):
+    done = redact.sanitize(scoped(spark, sf_dir).select("document_id", "data_level", "text"), TEST_KEY, codes=COMMON, level_col="data_level")
+    return done.select("document_id", "verdict", "state", "ledger.input_sha256", "ledger.output_sha256", F.col("ledger.redaction_count").alias("redactions"), F.size("ledger.suspect").alias("suspects"))
+
+
+@query(
+    "token_mint",
+    r"""
+    with v as (select doc_id, source, rpad('test' || chr(0) || '0' || chr(0) || '0', 64, chr(0)) as k from documents)
+    select doc_id, '[EMAIL_' || upper(substring(hmac, 1, 16)) || ']' as token from (
+        select doc_id, sha256(from_hex(repeat('5c', 0)) || from_hex(ok) || from_hex(sha256(from_hex(ik) || encode('EMAIL' || chr(0) || source || '@x.org')))) as hmac
+        from (select *, array_to_string(list_transform(range(1, 65), lambda i: printf('%02x', xor(ascii(substring(k, i, 1)), 92))), '') as ok,
+            array_to_string(list_transform(range(1, 65), lambda i: printf('%02x', xor(ascii(substring(k, i, 1)), 54))), '') as ik from v))
+    """,
+)
+def token_mint(spark, sf_dir):
+    pair = F.array(F.struct(F.lit("EMAIL").alias("entity"), F.concat("source", F.lit("@x.org")).alias("value")))
+    return table(spark, sf_dir, "documents").select("doc_id", redact.minter(TEST_KEY)(pair)[0].alias("token"))
+
+
+@query("rescan_findings", "select 'findings' as what, count(*)::bigint as matches, count(distinct document_id)::bigint as documents, count(distinct (document_id, chunk_index))::bigint as chunks from (select document_id, chunk_index, unnest(regexp_extract_all(content, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) from ({CHUNKS}) where sanitization_state = 'sanitized')".replace("\\\\", "\\"))
+def rescan(spark, sf_dir):
+    rows = detect(line_chunks(spark, sf_dir).where("sanitization_state = 'sanitized'"), "content", codes=["EMAIL"]).select("document_id", "chunk_index", F.explode("matches").alias("m"))
+    return rows.agg(F.count("*").alias("matches"), F.countDistinct("document_id").alias("documents"), F.countDistinct("document_id", "chunk_index").alias("chunks")).select(F.lit("findings").alias("what"), "matches", "documents", "chunks")
+
+
+# --- scope and state ---------------------------------------------------------------------
+
+
+@query("state_histogram", "select sanitization_state, count(*)::bigint as n from ({SCOPE}) group by all")
+def state_histogram(spark, sf_dir):
+    return govern.histogram(scoped(spark, sf_dir), "sanitization_state")
+
+
+@query("workspace_rollup", "select document_id, count(*)::bigint as chunks, string_agg(distinct sanitization_state, ',' order by sanitization_state) as states from ({CHUNKS}) group by document_id")
+def workspace_rollup(spark, sf_dir):
+    return govern.rollup(line_chunks(spark, sf_dir))
+
+
+@query("latest_version", "select matter_id, name, document_id, version from ({SCOPE}) qualify row_number() over (partition by matter_id, name order by version desc, document_id) = 1")
+def latest_version(spark, sf_dir):
+    return govern.latest(scoped(spark, sf_dir), ["matter_id", "name"], F.desc("version"), F.col("document_id")).select("matter_id", "name", "document_id", "version")
+
+
+@query("next_version", "select matter_id, name, coalesce(max(version), 0) + 1 as next_version from ({SCOPE}) group by all")
+def next_version(spark, sf_dir):
+    return govern.next_version(scoped(spark, sf_dir), ["matter_id", "name"])
+
+
+@query("gate_matrix", "select sanitization_state, data_level, count(*)::bigint as n, count(*) filter (sanitization_state in ('sanitized', 'never'))::bigint as open, case sanitization_state when 'sanitized' then 'redacted' when 'never' then 'original' else 'refuse' end as egress from ({SCOPE}) group by 1, 2, 5")
+def gate_matrix(spark, sf_dir):
+    rows = scoped(spark, sf_dir).withColumn("egress", govern.admission(F.col("sanitization_state")))
+    return rows.groupBy("sanitization_state", "data_level", "egress").agg(F.count("*").alias("n"), F.count_if(F.col("sanitization_state").isin(*retrieve.GATE)).alias("open"))
+
+
+@query("level_ceiling", "select ceiling, count(*)::bigint as n from ({SCOPE}), (values ('T1'), ('T2'), ('T3'), ('T4')) as c(ceiling) where data_level <= ceiling and sanitization_state in ('sanitized', 'never') and tenant_id = 1 group by 1")
+def level_ceiling(spark, sf_dir):
+    docs = scoped(spark, sf_dir)
+    parts = [retrieve.gated(docs, 1, top=t).select(F.lit(t).alias("ceiling")) for t in retrieve.LEVELS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("ceiling").agg(F.count("*").alias("n"))
+
+
+@query("download_body", "select document_id, case when sanitization_state = 'never' then 'original' when sanitization_state != 'sanitized' then 'refuse' when document_id % 5 = 0 then 'conflict' when document_id % 3 = 0 then 'redacted_attachment' else 'redacted_text' end as body from ({SCOPE})")
+def download_body(spark, sf_dir):
+    kind = F.when(F.col("document_id") % 3 == 0, "pdf").otherwise("txt")
+    return scoped(spark, sf_dir).select("document_id", govern.download(F.col("sanitization_state"), kind, F.col("document_id") % 5).alias("body"))
+
+
+@query("scope_mismatch", "select document_id, case when tenant_id != 1 then 'tenant' when matter_id != 5 then 'matter' end as mismatch from ({SCOPE})")
+def scope_mismatch(spark, sf_dir):
+    return scoped(spark, sf_dir).select("document_id", govern.scope_mismatch(F.col("tenant_id"), F.col("matter_id"), F.lit(1), F.lit(5)).alias("mismatch"))
+
+
+def _jobs(spark, sf_dir):
+    """Two jobs for each document: deterministic stand-ins."""
+    rows = scoped(spark, sf_dir).select("document_id", "data_level", F.explode(F.array(F.lit(0), F.lit(1))).alias("job"))
+    return rows.withColumn("created_at", F.col("document_id") * 10 + F.col("job") * (F.col("document_id") % 3)).withColumn("verdict", F.when((F.col("document_id") + F.col("job")) % 4 == 0, "pass").otherwise("block"))
+
+
+JOBS_SQL = f"select document_id, data_level, job, document_id * 10 + job * (document_id % 3) as created_at, case when (document_id + job) % 4 = 0 then 'pass' else 'block' end as verdict from ({SCOPE_SQL}), (values (0), (1)) as j(job)"
+
+
+@query("latest_job", f"select document_id, job::bigint as job, verdict from ({JOBS_SQL}) qualify row_number() over (partition by document_id order by created_at desc, job desc) = 1")
+def latest_job(spark, sf_dir):
+    return govern.latest(_jobs(spark, sf_dir), ["document_id"], F.desc("created_at"), F.desc("job")).select("document_id", F.col("job").cast("long").alias("job"), "verdict")
+
+
+@query("held_for_review", f"select document_id from ({SCOPE_SQL}) d where sanitization_state = 'pending' and exists (select 1 from ({JOBS_SQL}) j where j.document_id = d.document_id and verdict = 'pass')")
+def held_for_review(spark, sf_dir):
+    return govern.held_for_review(scoped(spark, sf_dir), _jobs(spark, sf_dir)).select("document_id")
+
+
+@query("disposition", "select document_id, case when document_id % 7 = 0 then 'blocked' when data_level = 'T4' and document_id % 5 != 0 then 'pending' else 'sanitized' end as state from ({SCOPE})")
+def disposition(spark, sf_dir):
+    d = F.col("document_id")
+    return scoped(spark, sf_dir).select("document_id", redact.disposition(F.col("data_level"), F.when(d % 7 == 0, "block").otherwise("pass"), d % 5 == 0).alias("state"))
+
+
+@query(
+    "state_transitions",
+    """
+    with e(state, event, to_state) as (values ('pending', 'pass', 'sanitized'), ('pending', 'block', 'blocked'), ('pending', 'hold', 'pending'), ('pending', 'approve', 'sanitized'),
+        ('sanitized', 'pass', 'sanitized'), ('sanitized', 'block', 'blocked'), ('sanitized', 'reset', 'pending'), ('blocked', 'reopen', 'pending'), ('blocked', 'block', 'blocked')),
+    d as (select *, (['pass', 'block', 'hold', 'approve', 'reset', 'reopen'])[(document_id % 6 + 1)::int] as event, (['admin', 'partner', 'member'])[(document_id % 3 + 1)::int] as role, document_id % 2 = 0 as held from ({SCOPE}))
+    select document_id, d.event, case when d.event in ('reset', 'approve') and role not in ('admin', 'partner') then null when d.event = 'approve' and not held then null else to_state end as to_state
+    from d left join e on d.sanitization_state = e.state and d.event = e.event
+    """,
+)
+def state_transitions(spark, sf_dir):
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("document_id") % len(names) + 1).cast("int"))
+    event = pick(["pass", "block", "hold", "approve", "reset", "reopen"])
+    return scoped(spark, sf_dir).select("document_id", event.alias("event"), govern.next_state(F.col("sanitization_state"), event, F.col("document_id") % 2 == 0, pick(["admin", "partner", "member"])).alias("to_state"))
+
+
+@query("reassemble_body", "select document_id, md5(string_agg(content, chr(10) order by chunk_index)) as body_md5 from ({CHUNKS}) group by document_id")
+def reassemble_body(spark, sf_dir):
+    return govern.body(line_chunks(spark, sf_dir), "\n").select("document_id", F.md5("body").alias("body_md5"))
+
+
+@query(
+    "index_state",
+    """
+    with c as (select document_id, bool_or(sanitization_state in ('sanitized', 'never')) as o, bool_or(sanitization_state = 'pending') as p from ({CHUNKS}) group by 1)
+    select matter_id, count(*)::bigint as documents, count(*) filter (coalesce(o, false))::bigint as searchable, count(*) filter (coalesce(p, false))::bigint as pending,
+        case when count(*) filter (coalesce(o, false)) = 0 then 'nothing_sanitized' else 'no_match' end as reason
+    from ({SCOPE}) d left join c using (document_id) group by matter_id
+    """,
+)
+def index_state(spark, sf_dir):
+    rows = govern.index_state(scoped(spark, sf_dir), line_chunks(spark, sf_dir).select("document_id", "sanitization_state"))
+    return rows.withColumn("reason", retrieve.empty_reason(F.col("documents"), F.col("searchable"), F.lit(0)))
+
+
+@query(
+    "batch_page_cap",
+    """
+    with d as (select o_custkey, o_orderkey, 1 + o_orderkey % 7 as pages, o_orderkey % 5 != 0 as ok from orders),
+    s as (select *, coalesce(sum(case when ok then pages else 0 end) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0)::bigint as spent from d)
+    select * from s where spent < 20
+    """,
+)
+def batch_page_cap(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return govern.page_cap(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (1 + k % 7).alias("pages"), (k % 5 != 0).alias("ok")), "o_custkey", "o_orderkey", 20)
+
+
+@query("upsert_extractions", "select document_id, coalesce(n.v, o.v) as v from (select document_id, n_chars as v from ({SCOPE})) o left join (select document_id, n_chars + 1 as v from ({SCOPE}) where document_id % 3 = 0) n using (document_id)")
+def upsert_extractions(spark, sf_dir):
+    rows = scoped(spark, sf_dir)
+    old = rows.select("document_id", F.col("n_chars").alias("v"), F.lit(1).alias("at"))
+    new = rows.where("document_id % 3 = 0").select("document_id", (F.col("n_chars") + 1).alias("v"), F.lit(2).alias("at"))
+    return govern.upsert(old, new, ["document_id"], "at").select("document_id", "v")
+
+
+@query(
+    "replace_chunks",
+    """
+    select document_id, count(*)::bigint as chunks, count(*) filter (content = 'redacted')::bigint as fresh from (
+        select document_id, content from ({CHUNKS}) where not (sanitization_state in ('pending', 'sanitized') and document_id % 4 = 1)
+        union all select document_id, 'redacted' from ({SCOPE}) where document_id % 4 = 1) group by 1
+    """,
+)
+def replace_chunks(spark, sf_dir):
+    cols = ["document_id", "chunk_index", "content", "sanitization_state"]
+    new = scoped(spark, sf_dir).where("document_id % 4 = 1").select("document_id", F.lit(0).cast("long").alias("chunk_index"), F.lit("redacted").alias("content"), F.lit("sanitized").alias("sanitization_state"))
+    rows = govern.replace_chunks(line_chunks(spark, sf_dir).select(*cols), new)
+    return rows.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("content") == "redacted").alias("fresh"))
+
+
+# --- retrieval ---------------------------------------------------------------------------
+
+
+@query("chunk_documents")
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk(table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", F.octet_length("content").alias("bytes"), F.md5("content").alias("md5"))
+
+
+def _vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return v.select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"), "embedding")
+
+
+@query(
+    "semantic_topk",
+    "select vec_id as document_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 6) as score from embeddings where embedding is not null order by score desc, document_id limit 20",
+)
+def semantic_topk(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    q = rows.where("document_id = 7").select(F.col("embedding").alias("q"))
+    return retrieve.semantic(rows, q, 20).select("document_id", "score")
+
+
+_PHRASE_SQL = """
+    with c as (select *, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t != ''), '  ') || ' ' as padded from ({CHUNKS})
+        where sanitization_state in ('sanitized', 'never') and tenant_id = 1 and data_level <= 'T3'),
+    s as (select document_id, chunk_index, content, len(regexp_extract_all(padded, ' of  the ')) as n from c)
+    select document_id, chunk_index, round(n / (n + 1.0), 6)::double as score from s where n > 0 order by score desc, document_id, chunk_index limit 25
+""".replace("\\\\", "\\")
+
+
+@query("lexical_phrase_topk", _PHRASE_SQL)
+def lexical_topk(spark, sf_dir):
+    return retrieve.lexical(retrieve.gated(line_chunks(spark, sf_dir), 1), PHRASE, 25).select("document_id", "chunk_index", "score")
+
+
+@query("hybrid_topk")
+def hybrid_topk(spark, sf_dir):
+    docs = scoped(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    rows = docs.join(vectors, "document_id", "left").withColumn("chunk_index", F.lit(0)).withColumn("content", F.substring("text", 1, 400))
+    q = vectors.where("document_id = 7").select(F.col("embedding").alias("q"))
+    return retrieve.hybrid(retrieve.gated(rows, 1), PHRASE, q, 10, 3000).select("document_id", "rank", "score", "matched", F.length("content").alias("chars"))
+
+
+@query("find_lines", "select doc_id, line, text from (select doc_id, i as line, trim(parts[i], ' ') as text, row_number() over (partition by doc_id order by i) as n from (select doc_id, string_split(text, chr(10)) as parts from documents), unnest(range(1, len(parts) + 1)) as t(i) where contains(lower(parts[i]), 'the')) where n <= 40".replace("i as line", "i::int as line"))
+def find_lines(spark, sf_dir):
+    return cite.find_lines(table(spark, sf_dir, "documents"), "the")
+
+
+@query("find_pages")
+def find_pages(spark, sf_dir):
+    return cite.find_pages(table(spark, sf_dir, "documents"), "license")
+
+
+@query("html_strip")
+def html_strip(spark, sf_dir):
+    text = extract.html_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text).alias("chars"), F.md5(text).alias("md5"))
+
+
+@query("cjk_dominant", "select doc_id, false as cjk from documents")
+def cjk_dominant(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", cite.cjk_dominant(F.col("text")).alias("cjk"))
+
+
+# --- citations, sources, metrics, loops --------------------------------------------------
+
+
+@query(
+    "citation_verify",
+    """
+    with c as (select conv_id, turn, conv_id % 50 as doc_id, case when turn % 2 = 0 then (select substring(text, 1, 30) from documents d where d.doc_id = c.conv_id % 50) else 'no such quote' end as q from conversations c)
+    select conv_id, turn, case when conv_id % 9 = 0 then 'source_unavailable' when contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(q, '\\s+', '', 'g'))) and regexp_replace(q, '\\s+', '', 'g') != '' then 'found' else 'not_found' end as outcome
+    from c join documents d using (doc_id)
+    """.replace("\\\\", "\\"),
+)
+def citation_verify(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id < 50")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 50).alias("doc_id"))
+    quoted = rows.join(docs.select("doc_id", "text"), "doc_id").select("conv_id", "turn", F.when(F.col("conv_id") % 9 == 0, F.lit(-1)).otherwise(F.col("doc_id")).alias("document_id"), F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 30)).otherwise("no such quote").alias("verbatim"))
+    bodies = docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("body"))
+    return cite.verify(quoted, bodies).select("conv_id", "turn", "outcome")
+
+
+@query("gate_report", "select conv_id as turn_id, count(*)::bigint as citations, count(*) filter (turn % 3 = 0)::bigint as unverified, case when count(*) filter (turn % 3 = 0) > 0 then 'violated' else 'satisfied' end as gate from conversations group by 1")
+def gate_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("turn_id"), F.when(F.col("turn") % 3 == 0, "not_found").otherwise("found").alias("outcome"))
+    return cite.gates(rows.select("turn_id").distinct(), rows)
+
+
+WORKFLOWS = (("a", "Review", "contract review", "review"), ("b", "Draft", "draft a letter", "draft"), ("c", "Check", "check facts", "review"))
+WORKFLOWS_MORE = (("b", "Draft 2", "other", "draft"), ("d", "Search", "case law", "research"))
+
+
+@query("workflow_merge", "with y(id, name, description, category) as (values ('a', 'Review', 'contract review', 'review'), ('b', 'Draft', 'draft a letter', 'draft'), ('c', 'Check', 'check facts', 'review')), b(id, name, description, category) as (values ('b', 'Draft 2', 'other', 'draft'), ('d', 'Search', 'case law', 'research')) select category, count(*)::bigint as n from (select * from y union all select * from b where id not in (select id from y)) group by 1")
+def workflow_merge(spark, sf_dir):
+    y, b = (spark.createDataFrame(list(x), "id string, name string, description string, category string") for x in (WORKFLOWS, WORKFLOWS_MORE))
+    return govern.histogram(govern.merge_by_id(y, b), "category")
+
+
+RESPONSES = {
+    "courtlistener": '{"results": [{"caseName": "A v. B", "citation": [{"cite": "1 U.S. 1"}], "snippet": "s", "dateFiled": "2020-01-02"}, {"snippet": "no title"}]}',
+    "eur_lex": '{"results": {"bindings": [{"title": {"value": "Regulation"}, "celex": {"value": "32016R0679"}}]}}',
+    "gleif": '{"data": [{"id": "LEI1", "attributes": {"entity": {"legalName": {"name": "Firm"}, "legalAddress": {"country": "DE"}}, "registration": {"initialRegistrationDate": "2015"}}}]}',
+    "vaquill": "not json",
+}
+
+
+@query("connector_rank", "select * from (values (0::bigint, 'Regulation', '32016R0679', 'eur_lex', 'european_union'), (1, 'A v. B', '1 U.S. 1', 'courtlistener', 'united_states'), (2, 'Firm', 'LEI1', 'gleif', 'DE')) as t(place, title, citation, source_name, jurisdiction)")
+def connector_rank(spark, sf_dir):
+    rows = federate.federated([federate.parsed(spark.createDataFrame([(body,)], "body string"), name) for name, body in RESPONSES.items()])
+    order = Window.orderBy("level_rank", "source_order", "pos")
+    return rows.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select("place", "title", "citation", "source_name", "jurisdiction")
+
+
+@query(
+    "loop_detect_batch",
+    """
+    with e as (select user_id as thread_id, event_id as seq, event_type as hash from events),
+    w as (select a.thread_id, a.seq, a.hash, row_number() over (partition by thread_id order by seq) as rn from e a),
+    s as (select a.thread_id, a.seq, a.hash, (select count(*) from w b where b.thread_id = a.thread_id and b.rn between a.rn - 19 and a.rn and b.hash = a.hash) as same from w a),
+    p as (select *, lag(same) over (partition by thread_id, hash order by seq) as before from s)
+    select thread_id, seq, hash, same::bigint as same, case when same >= 5 then 'stop' when same >= 3 and coalesce(before, 0) < 3 then 'warn' end as action from p
+    """,
+)
+def loop_detect_batch(spark, sf_dir):
+    return loops.repeated(table(spark, sf_dir, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("hash")))
+
+
+@query(
+    "round_guard",
+    """
+    with r as (select conv_id as thread_id, turn as round, role as signature, length(text) % 3 = 0 as failed from conversations)
+    select thread_id, round, case when signature = lag(signature) over w then 'identical' when sum(failed::int) over (w rows between 2 preceding and current row) >= 3 then 'errors' when round >= 10 then 'rounds' end as reason
+    from r window w as (partition by thread_id order by round)
+    """,
+)
+def round_guard(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("round"), F.col("role").alias("signature"), (F.length("text") % 3 == 0).alias("failed"))
+    return loops.round_guard(rows).select("thread_id", "round", "reason")
+
+
+@query("event_counts", "select date_trunc('hour', ts) as start, event_type, count(*)::bigint as n from events group by 1, 2")
+def event_counts(spark, sf_dir):
+    return loops.event_counts(table(spark, sf_dir, "events"))
+
+
+@query(
+    "fold_summary",
+    """
+    select event_type as kind, count(*)::bigint as folds, min(event_id) as least, floor(median(event_id))::bigint as middle, max(event_id) as most, sum(user_id % 7)::bigint as calls,
+        string_agg(distinct (user_id % 3)::varchar, ',' order by (user_id % 3)::varchar) as triggers, round(sum(user_id % 7)::double / nullif(sum(1 + user_id % 2), 0), 2) as retouch_ratio
+    from events group by 1
+    """,
+)
+def fold_summary(spark, sf_dir):
+    u = F.col("user_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("tokens_at_fold"), (u % 7).alias("tool_calls"), (1 + u % 2).alias("distinct_payloads"), (u % 3).cast("string").alias("trigger"))
+    return evaluate.fold_summary(rows)
+
+
+@query("eval_confusion", "select quality as gold, (doc_id % 3 > 0)::int as pred, count(*)::bigint as n from labels group by 1, 2")
+def eval_confusion(spark, sf_dir):
+    return evaluate.confusion(table(spark, sf_dir, "labels").select(F.col("quality").alias("gold"), (F.col("doc_id") % 3 > 0).cast("int").alias("pred")), "gold", "pred")
+
+
+@query(
+    "eval_metrics",
+    """
+    with r as (select (['low', 'medium', 'high'])[(doc_id % 3 + 1)::int] as gold, (['low', 'medium', 'high'])[(doc_id // 2 % 3 + 1)::int] as pred from labels)
+    select count(*)::bigint as n, round(avg((gold = pred)::int), 6) as accuracy, round(count(*) filter (gold = pred and gold = 'low')::double / count(*) filter (gold = 'low'), 6) as recall_low,
+        round(count(*) filter (gold = pred and gold = 'medium')::double / count(*) filter (gold = 'medium'), 6) as recall_medium, round(count(*) filter (gold = pred and gold = 'high')::double / count(*) filter (gold = 'high'), 6) as recall_high,
+        round(count(*) filter (gold = pred and pred = 'high')::double / count(*) filter (pred = 'high'), 6) as precision_high from r
+    """,
+)
+def eval_metrics(spark, sf_dir):
+    names = F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
+    rows = table(spark, sf_dir, "labels").select(F.element_at(names, (F.col("doc_id") % 3 + 1).cast("int")).alias("gold"), F.element_at(names, (F.expr("doc_id div 2") % 3 + 1).cast("int")).alias("pred"))
+    return evaluate.class_metrics(rows, "gold", "pred", ["low", "medium", "high"], "high")
+
+
+@query(
+    "eval_auc",
+    """
+    with r as (select quality as y, n_chars % 97 as s from labels join documents using (doc_id))
+    select count(*) filter (y = 1)::bigint as positives, count(*) filter (y = 0)::bigint as negatives,
+        (select round(sum(case when p.s > n.s then 1.0 when p.s = n.s then 0.5 else 0 end)::double / count(*), 6) from r p, r n where p.y = 1 and n.y = 0) as auc from r
+    """,
+)
+def eval_auc(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).alias("s")), "doc_id")
+    return evaluate.auc(rows, "quality", "s")
+
+
+@query("clause_grades", "select o_orderkey, case when o_orderkey % 11 = 0 then null when u >= 0.75 or l >= 0.5 then 'high' when a >= 0.5 then 'medium' else 'low' end as grade from (select o_orderkey, (o_orderkey % 10) / 10.0 as u, (o_orderkey % 7) / 10.0 as l, (o_orderkey % 9) / 10.0 as a from orders)")
+def clause_grades(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", evaluate.clause_grade((k % 10) / 10, (k % 7) / 10, (k % 9) / 10, F.array().cast("array<string>"), k % 11 == 0).alias("grade"))
+
+
+@query("stratified_sample")
+def stratified_sample(spark, sf_dir):
+    return evaluate.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 40, 7)
+
+
+@query(
+    "scope_match",
+    """
+    with m as (select n_nationkey as id, n_name as name, case when n_nationkey % 2 = 0 then 'ch' || n_nationkey end as external_key, n_nationkey as listing from nation),
+    s as (select s_suppkey as scope_id, case when s_suppkey % 3 = 0 then s_nationkey end as scope_matter, case when s_suppkey % 3 = 1 then 'ch' || s_nationkey end as channel_id, case when s_suppkey % 3 = 2 then 'zzz' else (select n_name from nation where n_nationkey = s_nationkey) end as channel_name from supplier)
+    select scope_id, arg_min(m.id, listing) as matter_id from s left join m on m.id = scope_matter or m.external_key = channel_id or (channel_id is null and m.name = channel_name) group by 1
+    """,
+)
+def scope_match(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    key = F.concat(F.lit("ch"), F.col("n_nationkey").cast("string"))
+    matters = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, key).alias("external_key"), F.col("n_nationkey").alias("listing"))
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(k.alias("scope_id"), F.when(k % 3 == 0, F.col("s_nationkey")).alias("scope_matter"), F.when(k % 3 == 1, key).alias("channel_id"), F.when(k % 3 == 2, "zzz").otherwise(F.col("n_name")).alias("channel_name"))
+    return govern.match_scopes(s, matters)
+
+
+__all__ = ["ORACLES", "QUERIES", "RULES", "S"]
