@@ -19,15 +19,23 @@ def detect(docs: DataFrame, text_col: str = "text", out: str = "matches", codes:
     array of matches of another detector, such as a model.  Null texts get null.
     """
     text = F.col(text_col)
-    now = docs.withColumn(out, F.array().cast(S.MATCH))
+    now, plain = docs.withColumn(out, F.array().cast(S.MATCH)), []
+
+    def added() -> DataFrame:
+        """The matches of the rules gathered so far, in one step of the plan."""
+        done = now.withColumn(out, F.concat(F.col(out), *plain)) if plain else now
+        plain.clear()
+        return done
+
     for rule in S.rules_for(codes):
         found = S.of_rule(text, rule)
         if rule.unclaimed:
-            now = now.withColumn("_found", found)
+            now = added().withColumn("_found", found)
             fresh = F.filter("_found", lambda m: ~F.exists(out, lambda k: (k["start"] == m["start"]) & (k["end"] == m["end"])))
             now = now.withColumn(out, F.concat(out, fresh)).drop("_found")
         else:
-            now = now.withColumn(out, F.concat(F.col(out), found))
+            plain.append(found)
+    now = added()
     if extra is not None:
         now = now.withColumn(out, F.concat(F.col(out), extra.cast(S.MATCH)))
     now = now.withColumn(out, F.when(text.isNotNull() & (F.size(out) <= S.MOST_MATCHES), S.one_per_span(F.col(out))))

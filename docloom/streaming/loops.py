@@ -44,11 +44,14 @@ def round_guard(rounds: DataFrame) -> DataFrame:
 
 
 class LoopDetector(StatefulProcessor):
-    """Per thread: the last hashes and tool names; state expires with the thread's time to live."""
+    """Per thread: the last hashes and tool names; with ``ttl_ms`` a silent thread is forgotten."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("hashes", T.ArrayType(T.StringType())), T.StructField("tools", T.ArrayType(T.StringType())), T.StructField("warned", T.ArrayType(T.StringType())), T.StructField("warned_tools", T.ArrayType(T.StringType()))])
-        self.state = handle.getValueState("thread", schema, 24 * 3600 * 1000)
+        self.state = handle.getValueState("thread", schema, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         hashes, tools, warned, warned_tools = (list(x) for x in self.state.get()) if self.state.exists() else ([], [], [], [])
@@ -78,13 +81,13 @@ class LoopDetector(StatefulProcessor):
         pass
 
 
-def detect_stream(calls: DataFrame) -> DataFrame:
+def detect_stream(calls: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Streaming form of the detector over (thread_id, seq, tool, hash).
 
     Threads are forgotten by time to live, not by a global list of recent ones, which could
-    not be partitioned.
+    not be partitioned.  Without ``ttl_ms`` state is kept for good and no timer runs.
     """
-    return calls.groupBy("thread_id").transformWithStateInPandas(statefulProcessor=LoopDetector(), outputStructType=OUT, outputMode="append", timeMode="ProcessingTime")
+    return calls.groupBy("thread_id").transformWithStateInPandas(statefulProcessor=LoopDetector(ttl_ms), outputStructType=OUT, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 def event_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
