@@ -23,8 +23,8 @@ WHITE = " \\t\\n\\x0B\\f\\r"
 
 def token_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; a null text has none."""
-    bare = F.expr("trim(BOTH '\\t\\n\\u000B\\f\\r ' FROM _t)")
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(bare, f"[{WHITE}]+"))).cast("long")
+    framed = F.split(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), f"[{WHITE}]+")
+    return (F.size(framed) - 2).cast("long")
 
 
 def topic_of(text: Column) -> Column:

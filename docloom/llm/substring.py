@@ -258,7 +258,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "substring")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     index = FingerprintIndex(scratch, width, fanout, filter_bits)
-    bounds = sorted(set(plain.where("id is not null").approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
+    parts = [i / batches for i in range(1, batches)]
+    bounds = sorted(set(plain.where("id is not null").approxQuantile("id", parts, 0.01))) if parts else []
     edges = [None, *map(int, bounds), None]
     spans = None
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
