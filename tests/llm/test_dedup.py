@@ -22,7 +22,7 @@ def words_of(text: str | None, lower: bool = False) -> list[str]:
 def corpus(seed: int) -> list[tuple]:
     """Random texts with exact copies, near copies, shared passages and odd rows."""
     rng = random.Random(seed)
-    vocabulary = [f"w{i}" for i in range(300)] + ["Straße", "日本", "naïve", "a b"]
+    vocabulary = [f"w{i}" for i in range(300)] + ["Straße", "日本", "naïve", "a\u00a0b"]
     prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     passage = prose(80)
     out = [prose(rng.randint(1, 150)) for _ in range(60)]
