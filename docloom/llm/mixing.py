@@ -40,7 +40,7 @@ def topic_of(text: Column) -> Column:
 def tempered(cells: DataFrame, by: str, power: float) -> DataFrame:
     """Target shares of a marginal: its token shares to a power, made to sum to one."""
     share = cells.groupBy(by).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("raw"))
-    return share.crossJoin(F.broadcast(share.agg(F.sum("raw").alias("all")))).select(by, (F.col("raw") / F.col("all")).alias("target"))
+    return share.crossJoin(F.broadcast(share.agg(F.sum("raw").alias("all")))).select(by, F.coalesce(F.try_divide("raw", "all"), F.lit(0.0)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = 40, close: float = 1e-6, every: int = 4) -> DataFrame:
