@@ -350,6 +350,23 @@ def semantic_topk(spark, sf_dir):
     return retrieve.semantic(rows, q, 20).select("document_id", "score")
 
 
+def _searches(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query(
+    "semantic_topk_each",
+    """
+    with s as (select q.vec_id as query_id, v.vec_id as document_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) as score
+        from embeddings v, embeddings q where q.vec_id % 50 = 0 and v.embedding is not null and q.embedding is not null)
+    select * from s qualify row_number() over (partition by query_id order by score desc, document_id) <= 20
+    """,
+)
+def semantic_topk_each(spark, sf_dir):
+    """``semantic_topk`` for every vector whose id is divisible by 50."""
+    return retrieve.semantic_each(_vectors(spark, sf_dir), _searches(spark, sf_dir), 20).select("query_id", "document_id", "score")
+
+
 _PHRASE_SQL = """
     with c as (select *, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t != ''), '  ') || ' ' as padded from ({CHUNKS})
         where sanitization_state in ('sanitized', 'never') and tenant_id = 1 and data_level <= 'T3'),
@@ -365,11 +382,11 @@ def lexical_topk(spark, sf_dir):
 
 @query("hybrid_topk")
 def hybrid_topk(spark, sf_dir):
-    docs = scoped(spark, sf_dir)
+    """Whole documents in chunks, searched for every vector whose id is divisible by 50."""
+    chunks = chunking.chunk(retrieve.gated(scoped(spark, sf_dir), 1), "document_id")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    rows = docs.join(vectors, "document_id", "left").withColumn("chunk_index", F.lit(0)).withColumn("content", F.substring("text", 1, 400))
-    q = vectors.where("document_id = 7").select(F.col("embedding").alias("q"))
-    return retrieve.hybrid(retrieve.gated(rows, 1), PHRASE, q, 10, 3000).select("document_id", "rank", "score", "matched", F.length("content").alias("chars"))
+    found = retrieve.hybrid_each(chunks, vectors, PHRASE, _searches(spark, sf_dir), 10, 3000)
+    return found.select("query_id", "document_id", "chunk_index", "rank", "score", "matched", F.length("content").alias("chars"))
 
 
 @query("find_lines", "select doc_id, line, text from (select doc_id, i as line, trim(parts[i], ' ') as text, row_number() over (partition by doc_id order by i) as n from (select doc_id, string_split(text, chr(10)) as parts from documents), unnest(range(1, len(parts) + 1)) as t(i) where contains(lower(parts[i]), 'the')) where n <= 40".replace("i as line", "i::int as line"))

@@ -51,6 +51,28 @@ def test_phrase_and_merge(spark):
     assert retrieve.query_terms("the 合同a of it") == ["the", "合", "同"]
 
 
+def test_hybrid_searches_whole_texts_for_each_query(spark):
+    far = "\n\n".join([f"nothing {i} " * 60 for i in range(3)] + ["the red fox"])
+    chunks = chunk.chunk(spark.createDataFrame([(1, "blue"), (2, far), (3, "green"), (4, " ")], "document_id long, text string"), "document_id")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [1.0, 0.0]), (5, None), (6, [0.0, 0.0])], "document_id long, embedding array<double>")
+    queries = vectors.where("document_id in (1, 2, 6)").select(F.col("document_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = {}
+    for r in retrieve.hybrid_each(chunks, vectors, "red fox", queries, 4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.document_id, r.chunk_index, r.matched, r.score))
+    assert got[1][:2] == [(2, 3, True, 0.2), (1, 0, False, 0.6)]
+    assert got[2] == [(2, 3, True, 0.8)] + [(2, i, False, 0.6) for i in range(3)]
+    assert got[6] == [(2, 3, True, 0.2)]
+
+
+def test_top_k_of_each_query_is_that_of_one(spark):
+    rows = spark.range(0, 300, 1, 3).select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.array(*[(F.xxhash64(F.col("id") % 40, F.lit(i)) % 9).cast("double") for i in range(3)]).alias("embedding"))
+    queries = rows.where("document_id % 50 = 0").select(F.col("document_id").alias("query_id"), F.col("embedding").alias("q"))
+    each = retrieve.semantic_each(rows, queries, 7, at_once=4).collect()
+    for q in queries.collect():
+        one = [(r.document_id, r.score) for r in retrieve.semantic(rows, list(q.q), 7).collect()]
+        assert sorted(((r.document_id, r.score) for r in each if r.query_id == q.query_id), key=lambda x: (-x[1], x[0])) == one
+
+
 def test_html(spark):
     cases = {"<p>a</p>": " a ", '<a title=">">x</a>': " x ", "a<!-- > -->b": "a b", "<script>if (a<b) {}</script>t": " t", "&amp;": "&amp;", "<!DOCTYPE html>x": " x", "a < b": "a < b"}
     rows = spark.createDataFrame([(k,) for k in cases], "h string")
