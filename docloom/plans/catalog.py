@@ -429,6 +429,24 @@ def citation_verify(spark, sf_dir):
     return cite.verify(quoted, bodies).select("conv_id", "turn", "outcome")
 
 
+@query(
+    "citation_verify_all",
+    """
+    with c as (select doc_id, unnest([0, 1, 2]) as cite, text as body, length(text) as n from documents),
+    q as (select *, case cite when 0 then substring(body, (1 + (doc_id * 7919) % greatest(n - 29, 1))::int, 30) when 1 then substring(body, (greatest(n - 29, 1))::int, 30) else 'no such quote' end as q from c)
+    select doc_id, cite, case when doc_id % 9 = 0 or body is null then 'source_unavailable' when contains(lower(regexp_replace(body, '\\s+', '', 'g')), lower(regexp_replace(q, '\\s+', '', 'g'))) and regexp_replace(q, '\\s+', '', 'g') != '' then 'found' else 'not_found' end as outcome
+    from q
+    """.replace("\\\\", "\\"),
+)
+def citation_verify_all(spark, sf_dir):
+    """Three citations of every document: a quote from any place, its end, and one it has not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    last = F.greatest(F.length("text") - 29, F.lit(1))
+    quotes = F.array(F.substring(F.col("text"), (1 + F.col("doc_id") * 7919 % last).cast("int"), F.lit(30)), F.substring(F.col("text"), last, F.lit(30)), F.lit("no such quote"))
+    quoted = docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("document_id"), F.posexplode(quotes).alias("cite", "verbatim"))
+    return cite.verify(quoted, docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("body"))).select("doc_id", "cite", "outcome")
+
+
 @query("gate_report", "select conv_id as turn_id, count(*)::bigint as citations, count(*) filter (turn % 3 = 0)::bigint as unverified, case when count(*) filter (turn % 3 = 0) > 0 then 'violated' else 'satisfied' end as gate from conversations group by 1")
 def gate_report(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("turn_id"), F.when(F.col("turn") % 3 == 0, "not_found").otherwise("found").alias("outcome"))
