@@ -54,30 +54,39 @@ def tokens_of(url: Column) -> Column:
     mark = lambda parts, kind: F.transform(parts, lambda x: F.concat(F.lit(kind), fold(x)))
     solid = lambda parts: F.filter(parts, lambda x: x != "")
     labels = solid(F.split(host, r"\."))
+    suffix = F.regexp_extract(path, r"[^/]\.([0-9A-Za-z]+)$", 1)
     pieces = F.flatten(F.transform(labels, lambda x: F.when(x.contains("-"), F.split(x, "-")).otherwise(F.array().cast("array<string>"))))
     return F.array_distinct(F.concat(
-        mark(labels, "h:"), mark(solid(pieces), "w:"), mark(solid(F.split(path, "/")), "p:"),
+        mark(labels, "h:"), mark(solid(pieces), "w:"), mark(solid(F.split(path, "/")), "p:"), mark(solid(F.array(F.translate(suffix, _UPPER, _LOWER))), "x:"),
         mark(solid(F.split(F.regexp_extract(tail, r"^\?([^#]*)", 1), "&")), "q:"), mark(solid(F.array(F.regexp_extract(tail, r"(?s)#(.*)$", 1))), "f:"),
     ))
 
 
-def mine(labelled: DataFrame, scratch: Scratch, support: float = 0.001, least: int = 10, confidence: float = 0.6, lift: float = 1.5, common: float = 0.5) -> DataFrame:
+def mine(labelled: DataFrame, scratch: Scratch, support: float = 0.001, least: int = 10, confidence: float = 0.6, lift: float = 1.5, common: float = 1.0) -> DataFrame:
     """Rules (rule, items, size, confidence, support) from rows (tokens array, bad boolean).
 
-    Tokens in more than ``common`` of the rows tell nothing and are left out.  Empty when no
+    A token goes before mining only where no rule can need it: when fewer bad rows than the
+    support asks for have it, or when all rows have it.  ``common`` below 1 also leaves out
+    tokens in more than that part of the rows, with the rules that have them.  Empty when no
     row is labelled.
     """
     rows = scratch.table(labelled.where("bad is not null"), "labelled")
     n = rows.count()
     empty = rows.sparkSession.createDataFrame([], "rule long, items array<string>, size int, confidence double, support double")
-    if not n:
+    used = rows.where("bad or size(tokens) > 0")
+    m = used.count()
+    if not m:
         return empty
-    usual = rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > common * n).agg(F.collect_list("t").alias("usual"))
-    items = rows.crossJoin(F.broadcast(usual)).select(F.array_except("tokens", "usual").alias("t"), "bad")
-    items = scratch.table(items.select(F.when(F.col("bad"), F.array_append("t", BAD)).otherwise(F.col("t")).alias("items")).where("size(items) > 0"), "items")
-    if items.isEmpty():
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(items)
+    support = max(support, least / n)
+    counts = used.select(F.explode("tokens").alias("t"), "bad").groupBy("t").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    may = (F.col("bad") >= support * m * (1 - 1e-9)) & (F.col("n") < m) & (F.col("n") <= common * n)
+    kept = small_or_not(scratch.table(counts.where(may).select("t"), "kept"))
+    left = used.withColumn("row", F.monotonically_increasing_id())
+    left = scratch.table(left, "used")
+    tokens = left.select("row", F.explode("tokens").alias("t")).join(kept, "t").groupBy("row").agg(F.collect_list("t").alias("t"))
+    t = F.coalesce("t", F.array().cast("array<string>"))
+    items = scratch.table(left.join(tokens, "row", "left").select(F.when(F.col("bad"), F.array_append(t, F.lit(BAD))).otherwise(t).alias("items")), "items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     sure = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where((F.col("lift") >= lift) & (F.size("antecedent") > 0))
     sure = scratch.table(sure.select(F.sort_array("antecedent").alias("items"), "confidence", "support"), "sure")
     sure = sure.withColumn("rule", F.xxhash64("items")).withColumn("size", F.size("items"))

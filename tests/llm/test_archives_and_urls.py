@@ -8,6 +8,7 @@ import hashlib
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import urlrules, warc
 
@@ -153,6 +154,21 @@ def test_rules_match_brute_force_mining(spark):
     assert {tuple(r["items"]) for r in got} == want
 
 
+def test_a_rule_on_a_common_token_is_mined(spark):
+    """A token on 55 of 100 rows, 70 % of them bad (lift 1.75); one on all rows adds nothing."""
+    from docloom.llm.runtime import Scratch
+
+    rows = [(["all", "hot"], i < 38) for i in range(55)] + [(["all", f"t{i}"], i < 2) for i in range(45)]
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), Scratch(spark, "test")).collect()
+    assert [(r["items"], round(r["confidence"], 3)) for r in got] == [(["hot"], round(38 / 55, 3))]
+
+
+def test_extension_is_a_token(spark):
+    urls = ["http://h/a/Setup.EXE?q", "http://h/b/game.exe", "http://h.exe/", "http://h/.exe", "http://h/x.exe/y"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").select("i", urlrules.tokens_of(F.col("url")).alias("t")).collect()
+    assert [r.i for r in rows if "x:exe" in r.t] == [0, 1]
+
+
 def test_empty_pages(spark):
     empty = urlrules.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int"))
     assert empty.count() == 0
