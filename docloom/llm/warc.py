@@ -6,7 +6,9 @@ separator is CR LF CR LF: files are written by Spark's own commit protocol to an
 The reader takes whole files (plain, or with one or more records to a gzip member).  At each
 place it expects a gzip member or a version line.  When a check fails there (member, header,
 length, end mark, digest) it searches for the next place where a whole record passes and
-goes on; the bytes between are reported as a gap with the reason of the first failure.
+goes on; the bytes between are reported as a gap with the reason of the first failure.  It
+searches the bytes inside a member alike, as far as they can be decompressed; such records
+and gaps lie at the member's bytes.
 """
 
 from __future__ import annotations
@@ -94,23 +96,59 @@ def _plain(data: bytes, at: int) -> Record:
     return Record(at, last + 4, head, payload, size)
 
 
-def _member(data: bytes, at: int) -> list[Record]:
-    """The records of one gzip member; all lie at the member's bytes."""
-    box = zlib.decompressobj(31)
-    try:
-        inner = box.decompress(memoryview(data)[at:]) + box.flush()
-    except zlib.error as e:
-        raise Broken("gzip") from e
+def _inflated(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str | None]:
+    """(bytes of the gzip member, its end, None), or what came out before a failure, 0 and its reason."""
+    box, view, out, pos = zlib.decompressobj(31), memoryview(data), [], at
+    while pos < len(data) and not box.eof:
+        before = box.copy()
+        try:
+            out.append(box.decompress(view[pos : pos + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), 0, "gzip"
+            box, step = before, 1  # byte by byte to the damage
+            continue
+        pos += len(view[pos : pos + step])
     if not box.eof:
-        raise Broken("truncated")
-    end, out, pos = len(data) - len(box.unused_data), [], 0
+        return b"".join(out), 0, "truncated"
+    return b"".join(out), pos - len(box.unused_data), None
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record], int, str | None]:
+    """(records and gaps of one gzip member, where reading goes on, why the stream broke off).
+
+    Records that pass are kept wherever a version line starts one, also of a stream that broke
+    off; where its bytes may be wrong (not only cut short), a record needs a digest to pass.
+    All lie at the member's bytes as far as they were of use.
+    """
+    inner, end, broken = _inflated(data, at)
+    found, pos, bad, reason, good, first = [], 0, None, "", 0, ""
     while pos < len(inner):
-        got = _plain(inner, pos)
-        pos = got.end
-        out.append(Record(at, end, got.headers, got.payload, got.payload_bytes))
-    if not out:
-        raise Broken("empty member")
-    return out
+        try:
+            got = _plain(inner, pos)
+            if broken == "gzip" and not any(got.headers.get(f"warc-{x}-digest", "").startswith("sha1:") for x in ("block", "payload")):
+                raise Broken("gzip")
+        except Broken as e:
+            if bad is None:
+                bad, reason = pos, str(e)
+                first = first or reason
+            nxt = VERSION.search(inner, pos + 1)
+            pos = nxt.start() if nxt else len(inner)
+            continue
+        if bad is not None:
+            found.append(Record(at, at, gap=reason))
+            bad = None
+        found.append(got)
+        pos = good = got.end
+    if not good:
+        raise Broken(broken or first or "empty member")
+    if bad is not None and not broken:
+        found.append(Record(at, at, gap=reason))
+    if broken:
+        box = zlib.decompressobj(31)
+        box.decompress(memoryview(data)[at:], good)
+        end = min(len(data) - len(box.unconsumed_tail), len(data) - 1)
+    return [Record(at, end, r.headers, r.payload, r.payload_bytes, r.gap) for r in found], end, broken
 
 
 def salvage(data: bytes) -> Iterator[Record]:
@@ -118,7 +156,11 @@ def salvage(data: bytes) -> Iterator[Record]:
     pos, bad, reason = 0, None, ""
     while pos < len(data):
         try:
-            got = _member(data, pos) if data[pos : pos + 2] == b"\x1f\x8b" else [_plain(data, pos)]
+            if data[pos : pos + 2] == b"\x1f\x8b":
+                got, after, broken = _member(data, pos)
+            else:
+                got, broken = [_plain(data, pos)], None
+                after = got[0].end
         except Broken as e:
             if bad is None:
                 bad, reason = pos, str(e)
@@ -129,7 +171,11 @@ def salvage(data: bytes) -> Iterator[Record]:
             yield Record(bad, pos, gap=reason)
             bad = None
         yield from got
-        pos = got[-1].end
+        pos = after
+        if broken:
+            bad, reason = pos, broken
+            nxt = START.search(data, pos)
+            pos = nxt.start() if nxt else len(data)
     if bad is not None:
         yield Record(bad, len(data), gap=reason)
 

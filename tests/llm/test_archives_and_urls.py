@@ -61,6 +61,22 @@ def test_gaps_and_their_reasons():
     assert read(b"only junk") == ["version"]
 
 
+def test_good_records_of_a_broken_member_are_kept():
+    parts = [record(f"payload number {i} ".encode() * 30, i) for i in range(5)]
+    bad = record(b"bad", 9, digest="A" * 32)
+    assert read(gzip.compress(parts[0] + bad + parts[1]) + gzip.compress(parts[2])) == [r.partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2][:-4] if isinstance(r, bytes) else r for r in (parts[0], "payload digest", parts[1], parts[2])]
+    member = gzip.compress(b"".join(record(hashlib.sha512(bytes([i])).digest() * 4000, i) for i in range(5)))
+    cut = list(warc.salvage(member[: len(member) * 3 // 4]))
+    assert [r.headers["warc-record-id"] for r in cut if not r.gap] == [f"<urn:page:{i}>" for i in range(len(cut) - 1)] and len(cut) > 2
+    assert cut[-1].gap == "truncated"
+    zeroed = bytearray(member)
+    zeroed[len(member) // 2 : len(member) // 2 + 8] = b"\xff" * 8
+    out = list(warc.salvage(bytes(zeroed) + parts[0]))
+    ids = [r.headers["warc-record-id"] for r in out if not r.gap]
+    assert ids[:2] == ["<urn:page:0>", "<urn:page:1>"] or ids[:1] == ["<urn:page:0>"]
+    assert [r.start for r in out] == sorted(r.start for r in out) and out[-1].end == len(member) + len(parts[0])
+
+
 def test_a_version_line_inside_a_payload_is_not_taken_for_a_record():
     inner = record(b"inner", 5)
     data = record(inner, 1) + record(b"last", 2)
