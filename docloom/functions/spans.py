@@ -127,7 +127,8 @@ def outside_tokens(text: Column, matches: Column) -> Column:
         bracket = F.concat(F.regexp_extract(before, r"(?s)\[[^\[\]]*$", 0), m["text"], F.regexp_extract(after, r"(?s)^[^\[\]]*\]", 0))
         return m["text"].rlike(f"(?s){whole}") | hexed | bracket.rlike(rf"(?s)^\[(?:{_CODES})_.+\]$")
 
-    return F.filter(matches, lambda m: ~inside(m))
+    # a text without a token's head has nothing to be part of, and is not gone through for each match
+    return F.when(text.rlike(f"(?:{_CODES})_"), F.filter(matches, lambda m: ~inside(m))).otherwise(matches)
 
 
 def longest_first(matches: Column) -> Column:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 
 
-def detect(docs: DataFrame, text_col: str = "text", out: str = "matches", codes: Iterable[str] | None = None, extra: Column | None = None) -> DataFrame:
+def detect(docs: DataFrame, text_col: str = "text", out: str = "matches", codes: Iterable[str] | None = None, extra: Column | None = None, most: int | None = S.MOST_MATCHES) -> DataFrame:
     """``docs`` with an array of matches, by position; all in the JVM.
 
     Rules run in order, as a rule marked so skips spans that an earlier one has claimed.  Then
     one match per span is kept and parts of earlier tokens are left out.  A text with more than
-    4096 matches gets null, which later steps take as a failed detection.  ``extra`` adds an
-    array of matches of another detector, such as a model.  Null texts get null.
+    ``most`` matches (4096) gets null, which later steps take as a failed detection; None for
+    ``most`` counts them all.  ``extra`` adds an array of matches of another detector, such as
+    a model.  Null texts get null.
     """
     text = F.col(text_col)
     now, plain = docs.withColumn(out, F.array().cast(S.MATCH)), []
@@ -38,7 +39,7 @@ def detect(docs: DataFrame, text_col: str = "text", out: str = "matches", codes:
     now = added()
     if extra is not None:
         now = now.withColumn(out, F.concat(F.col(out), extra.cast(S.MATCH)))
-    now = now.withColumn(out, F.when(text.isNotNull() & (F.size(out) <= S.MOST_MATCHES), S.one_per_span(F.col(out))))
+    now = now.withColumn(out, F.when(text.isNotNull() & (F.lit(True) if most is None else F.size(out) <= most), S.one_per_span(F.col(out))))
     return now.withColumn(out, S.outside_tokens(text, F.col(out)))
 
 

@@ -51,10 +51,23 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("leak_audit_by_source")
 def leak_audit(spark, sf_dir):
-    """Identifiers found, and left after redaction, by source and class."""
-    done = redact.sanitize(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), TEST_KEY, codes=COMMON)
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def audit(docs, codes=COMMON):
+    """Identifiers found, and left after redaction, by source and class.
+
+    A text that redaction refuses for its many matches keeps them all, and counts once under
+    the class REFUSED.
+    """
+    done = redact.sanitize(docs.select("doc_id", "source", "text"), TEST_KEY, codes=codes)
+    refused = F.col("text").isNotNull() & F.col("residue").isNull()
+    failed = done.where(refused).select("source", "text")
+    marks = lambda m: F.array(F.struct(m.alias("entity"), F.lit(0).alias("left")), F.struct(m.alias("entity"), F.lit(1).alias("left")))
+    whole = detect(failed, codes=codes, most=None)
+    whole = whole.select("source", F.explode(F.flatten(F.concat(F.array(marks(F.lit("REFUSED"))), F.transform("matches", lambda m: marks(m["entity"]))))).alias("m"))
     both = done.select("source", F.explode(F.concat(F.transform("matches", lambda m: F.struct(m["entity"].alias("entity"), F.lit(0).alias("left"))), F.transform("residue", lambda m: F.struct(m["entity"].alias("entity"), F.lit(1).alias("left"))))).alias("m"))
-    return both.groupBy("source", F.col("m.entity").alias("entity")).agg(F.count_if(F.col("m.left") == 0).alias("found"), F.count_if(F.col("m.left") == 1).alias("residual"))
+    return both.unionByName(whole).groupBy("source", F.col("m.entity").alias("entity")).agg(F.count_if(F.col("m.left") == 0).alias("found"), F.count_if(F.col("m.left") == 1).alias("residual"))
 
 
 def _count_sql(pattern: str, guard: bool) -> str:
@@ -65,7 +78,7 @@ def _count_sql(pattern: str, guard: bool) -> str:
 
 
 def _found(spark, sf_dir, code):
-    rows = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), codes=[code]).select("doc_id", F.size("matches").cast("long").alias("found"))
+    rows = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), codes=[code], most=None).select("doc_id", F.size("matches").cast("long").alias("found"))
     return rows.where("found > 0")
 
 
@@ -146,7 +159,7 @@ def checksum_codes(spark, sf_dir):
 @query("detect_all_classes")
 def detect_all_classes(spark, sf_dir):
     """Every rule over every document, counted by language and class."""
-    return counts_by(detect(table(spark, sf_dir, "documents").select("lang", "text")), "lang")
+    return counts_by(detect(table(spark, sf_dir, "documents").select("lang", "text"), most=None), "lang")
 
 
 @query("redact_restore_roundtrip")
@@ -159,7 +172,7 @@ def roundtrip(spark, sf_dir):
 
 @query("sanitize_ledger")
 def sanitize_ledger(spark, sf_dir):
-    done = redact.sanitize(scoped(spark, sf_dir).select("document_id", "data_level", "text"), TEST_KEY, codes=COMMON, level_col="data_level")
+    done = redact.sanitize(scoped(spark, sf_dir).select("document_id", "data_level", "text"), TEST_KEY, level_col="data_level")
     return done.select("document_id", "verdict", "state", "ledger.input_sha256", "ledger.output_sha256", F.col("ledger.redaction_count").alias("redactions"), F.size("ledger.suspect").alias("suspects"))
 
 
@@ -180,7 +193,7 @@ def token_mint(spark, sf_dir):
 
 @query("rescan_findings", "select 'findings' as what, count(*)::bigint as matches, count(distinct document_id)::bigint as documents, count(distinct (document_id, chunk_index))::bigint as chunks from (select document_id, chunk_index, unnest(regexp_extract_all(content, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) from ({CHUNKS}) where sanitization_state = 'sanitized')".replace("\\\\", "\\"))
 def rescan(spark, sf_dir):
-    rows = detect(line_chunks(spark, sf_dir).where("sanitization_state = 'sanitized'"), "content", codes=["EMAIL"]).select("document_id", "chunk_index", F.explode("matches").alias("m"))
+    rows = detect(line_chunks(spark, sf_dir).where("sanitization_state = 'sanitized'"), "content", codes=["EMAIL"], most=None).select("document_id", "chunk_index", F.explode("matches").alias("m"))
     return rows.agg(F.count("*").alias("matches"), F.countDistinct("document_id").alias("documents"), F.countDistinct("document_id", "chunk_index").alias("chunks")).select(F.lit("findings").alias("what"), "matches", "documents", "chunks")
 
 

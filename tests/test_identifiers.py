@@ -112,3 +112,12 @@ def test_verify_blocks_what_is_left(spark):
 def test_key_is_not_in_the_plan(spark):
     done = _done(spark, ["a@b.com"], b"very-secret-key")
     assert "very-secret-key" not in done._jdf.queryExecution().toString()
+
+
+def test_many_matches_are_counted_and_refused_by_name(spark):
+    from docloom.plans import catalog
+
+    docs = spark.createDataFrame([(1, "s", "a@b.com " * 4200), (2, "s", "a@b.com")], "doc_id long, source string, text string")
+    assert [len(r.matches) for r in detect(docs, codes=["EMAIL"], most=None).orderBy("doc_id").collect()] == [4200, 1]
+    got = {r.entity: (r.found, r.residual) for r in catalog.audit(docs, ["EMAIL"]).collect()}
+    assert got == {"EMAIL": (4201, 4200), "REFUSED": (1, 1)}
