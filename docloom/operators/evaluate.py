@@ -18,15 +18,21 @@ def class_metrics(rows: DataFrame, gold: str, pred: str, classes: list[str], hig
     return rows.agg(*aggs, ratio(F.count_if(right & (F.col(pred) == high)), F.count_if(F.col(pred) == high)).alias(f"precision_{high}"))
 
 
-def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
+def auc(rows: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
     """One row: positives, negatives, auc by rank sums with tied scores at half; NaN without both.
 
-    Scores are counted first, so the ordered window holds distinct scores, in ranges of which
-    each carries the sum of those before it.
+    Distinct scores are counted and dealt to ``ranges`` by approximate quantiles; a window ranks
+    within a range, and each range carries the negatives of those below it.  Null scores are
+    left out.
     """
-    counts = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = counts.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    cuts = sorted(set(counts.approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.005)))
+    counts = counts.withColumn("r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("s"))) if cuts else F.lit(0))
+    sums = counts.groupBy("r").agg(F.sum("n").alias("all"))  # at most ``ranges`` rows
+    lower = sums.select(F.col("r").alias("low"), F.col("all").alias("low_n"))
+    before = sums.join(F.broadcast(lower), F.col("low") < F.col("r"), "left").groupBy("r").agg(F.coalesce(F.sum("low_n"), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.join(F.broadcast(before), "r").withColumn("wins", F.col("p") * (F.col("before") + within + F.col("n") / 2))
     total = parts.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum("wins").alias("w"))
     value = F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.round(F.col("w") / (F.col("positives") * F.col("negatives")), 6)).otherwise(F.lit(float("nan")))
     return total.select("positives", "negatives", value.alias("auc"))

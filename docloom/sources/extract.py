@@ -19,16 +19,30 @@ MAIN = {"word/": "word/document.xml", "xl/": "xl/workbook.xml", "ppt/": "ppt/pre
 PROPERTIES = ("title", "subject", "creator", "keywords", "description", "lastModifiedBy", "category", "contentStatus", "Company", "Manager")
 
 
+#: Noncharacters that stand for markup between two passes; where a page has them they count as markup.
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"
+_RAW = "(?:script|style)"
+
+
 def html_text(html: Column) -> Column:
-    """Tags, comments, declarations and the bodies of script and style as one blank each.
+    """Visible text: each tag, comment and declaration is one blank; bodies of script and style go.
 
-    A quoted ``>`` does not end a tag; entities stay as they are.
+    Every ``<`` starts markup.  A quoted ``>`` does not end a tag, and markup that is never closed
+    runs to the end.  Inside script and style only the markup counts, until a closing tag of either.
+    Entities stay as they are.  All loops are possessive, so long pages need no stack, and each
+    character is read once by each pass.
     """
-    tag = r"""(?:"[^"]*"|'[^']*'|[^'">])*>"""
-    out = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
-    out = F.regexp_replace(out, rf"(?is)<(script|style)(?=[\s/>]){tag}.*?(?:</\1\s*>|\z)", " ")
-    out = F.regexp_replace(out, r"(?s)<!.*?(?:>|\z)", " ")
-    return F.regexp_replace(out, rf"(?s)</?[A-Za-z]{tag}", " ")
+    tag = r"""[^'">]*+(?:(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))[^'">]*+)*+(?:>|\z)"""
+    any_ = rf"(?is)<(?:!--.*?(?:-->|\z)|![^>]*+(?:>|\z)|(?:(/*{_RAW})(?![\p{{L}}\p{{N}}:\-]))?+{tag})"
+    marked = F.regexp_replace(html, any_, f"{_OPEN}$1{_SHUT}")
+    body = rf"(?i)^{_RAW}{_SHUT}[^{_OPEN}]*+(?:{_OPEN}(?!/+{_RAW}{_SHUT})[^{_OPEN}]*+)*+"
+    parts = F.split(marked, f"(?i){_OPEN}(?={_RAW}{_SHUT})")
+
+    def visible(part: Column, i: Column) -> Column:
+        code = F.regexp_replace(F.regexp_extract(part, body, 0), f"[^{_OPEN}]++", "")
+        return F.when(i == 0, part).otherwise(F.concat(F.lit(_OPEN), code, F.regexp_replace(part, body, "")))
+
+    return F.regexp_replace(F.array_join(F.transform(parts, visible), ""), f"(?i){_OPEN}(?:(?:/*{_RAW})?{_SHUT})?", " ")
 
 
 def plain_text(content: Column) -> tuple[Column, Column]:
