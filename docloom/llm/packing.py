@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,13 +72,14 @@ def packer(sizes: list[int], overhead: int):
         ids = group.column("id").to_numpy(zero_copy_only=False)
         null = np.array(group.column("id").is_null().to_pylist(), bool)
         ids = np.where(null, 0, ids).astype(np.int64)
+        number = group.column("row").to_numpy()
         total = group.column("n_tokens").to_numpy()
         pieces = np.maximum(-(-total // top), 1)
         row = np.repeat(np.arange(len(ids)), pieces)
         index = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = index * top
         length = np.minimum(total[row] - start, top)
-        order = np.lexsort((index, row, ids[row], -length))
+        order = np.lexsort((index, number[row], ids[row], -length))
         row, index, start, length = row[order], index[order], start[order], length[order]
         best = None
         for k in range(1, len(sizes) + 1):
@@ -96,10 +98,13 @@ def packer(sizes: list[int], overhead: int):
 
 
 def token_counter(batches):
-    """Arrow batches of (id, text) to (id, n_tokens): words and one end."""
+    """Arrow batches of (id, text) to (id, n_tokens, row): words and one end; row numbers differ."""
+    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
     for batch in batches:
         parts = [block.n_words + 1 for _, _, block in blocks(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())], ["id", "n_tokens"])
+        n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.arange(row, row + len(n)))], ["id", "n_tokens", "row"])
+        row += len(n)
 
 
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = (256, 512, 1024, 2048, 4096), overhead: int = 8, shard_tokens: int = 4_000_000) -> DataFrame:
@@ -110,14 +115,15 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     than its ``capacity``, and no smaller permitted capacity would hold its contents.
 
     Null and empty texts have one token, the end.  Null ids stay null.  Rows that repeat an id
-    are packed one by one.  A shard holds about ``shard_tokens`` tokens, and so at most as many
-    rows, each of two numbers.
+    are packed one by one.  Rows are dealt to shards by a written row number, whatever their ids
+    and lengths.  A shard holds about ``shard_tokens`` tokens (or one longer text), and so at
+    most as many rows, each of three numbers.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = scratch.table(slim.mapInArrow(token_counter, "id long, n_tokens long"), "tokens")
+    counted = scratch.table(slim.mapInArrow(token_counter, "id long, n_tokens long, row long"), "tokens")
     total = counted.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(shards)).cast("long"))
+    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
     out = dealt.groupBy("shard").applyInArrow(packer(sorted(sizes), overhead), OUT)
     return out.withColumnRenamed("id", id_col)

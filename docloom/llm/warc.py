@@ -106,7 +106,7 @@ def _inflated(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, st
         except zlib.error:
             if step == 1:
                 return b"".join(out), 0, "gzip"
-            box, step = before, 1  # byte by byte to the damage
+            box, step = before, max(1, step // 8)  # in ever smaller steps to the damage
             continue
         pos += len(view[pos : pos + step])
     if not box.eof:
@@ -114,6 +114,15 @@ def _inflated(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, st
     return b"".join(out), pos - len(box.unused_data), None
 
 
+def _used(data: bytes, at: int, good: int, step: int = 1 << 12) -> int:
+    """Where the bytes end that give the first ``good`` bytes of the member at ``at``."""
+    box, view, pos, out = zlib.decompressobj(31), memoryview(data), at, 0
+    while out < good:
+        out += len(box.decompress(view[pos : pos + step], good - out))
+        pos += len(view[pos : pos + step]) - len(box.unconsumed_tail)
+    return min(pos, len(data) - 1)
+
+
 def _member(data: bytes, at: int) -> tuple[list[Record], int, str | None]:
     """(records and gaps of one gzip member, where reading goes on, why the stream broke off).
 
@@ -145,9 +154,7 @@ def _member(data: bytes, at: int) -> tuple[list[Record], int, str | None]:
     if bad is not None and not broken:
         found.append(Record(at, at, gap=reason))
     if broken:
-        box = zlib.decompressobj(31)
-        box.decompress(memoryview(data)[at:], good)
-        end = min(len(data) - len(box.unconsumed_tail), len(data) - 1)
+        end = _used(data, at, good)
     return [Record(at, end, r.headers, r.payload, r.payload_bytes, r.gap) for r in found], end, broken
 
 
@@ -227,16 +234,19 @@ def base32(hexed: Column) -> Column:
     return F.concat(*out)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, file_bytes: int = 64 << 20) -> None:
     """One record per row, payload the text in UTF-8 (null: empty).
 
     Of rows with equal payloads of at least ``least`` bytes, those with the largest id are
     responses and the others revisit it; rows with a null id revisit whenever there is one
     with an id.  White space and control characters in a url are taken out of its header.
+    Files roll at as many records as ``file_bytes`` hold at their measured mean size.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     payload = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("n"))
+    mean = base.agg(F.avg("n")).first()[0] or 0.0
+    per_file = max(1, min(1_000_000, int(file_bytes / (mean + 500))))
     same = base.where(F.col("n") >= least).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("c")).where("c > 1 and last is not null").select("sha", "last")
     known = base.join(small_or_not(scratch.table(same, "same")), "sha", "left")
     revisit = (F.col("n") >= least) & F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("last")))

@@ -190,3 +190,29 @@ def test_empty_pages(spark):
     assert empty.count() == 0
     one = urlrules.judge(spark.createDataFrame([(1, "http://x/y"), (None, "http://x/y"), (1, "http://x/y")], "page_id long, url string"), spark.createDataFrame([(1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int"))
     assert [r.verdict for r in one.collect()] == ["allow"] * 3
+
+
+def test_many_members_are_read_in_linear_time():
+    import os
+    import time
+
+    def seconds(n: int) -> float:
+        data = b"".join(gzip.compress(record(os.urandom(10_000), i), 1) for i in range(n))
+        began = time.perf_counter()
+        assert sum(1 for r in warc.salvage(data) if not r.gap) == n
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(4000) < 12 * seconds(500) + 1
+
+
+def test_each_of_many_broken_members_gives_its_good_record():
+    bad = gzip.compress(record(b"good " * 200, 1) + record(b"x" * 5000, 2))[:-12]
+    out = list(warc.salvage(bad * 200))
+    assert sum(1 for r in out if not r.gap) >= 200
+
+
+def test_pages_without_ids_repeated_pages_and_empty_pages(spark):
+    rows = [(None, "u", "same", "x"), (None, "u", "same", "x"), (7, "u", "same", "x"), (7, "u", "same", "x"), (None, None, None, None), (8, "u", "é" * 300_000, "x")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(0, 0, "response", None), (0, 4, "revisit", 7), (0, 4, "revisit", 7), (7, 4, "response", None), (7, 4, "response", None), (8, 600_000, "response", None)]

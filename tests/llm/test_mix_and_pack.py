@@ -159,3 +159,12 @@ def test_pipeline_stages_follow_each_other(spark):
             assert now.where("n_chars != length(text)").count() == 0
         was = now
     assert sorted(map(tuple, pipeline.run(spark, SF).collect())) == sorted(map(tuple, was.collect()))
+
+
+def test_repeated_ids_are_spread_over_shards(spark):
+    """Rows of one id (or none) and one length are dealt like any others."""
+    rows = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("w " * 20).alias("text")).repartition(4)
+    got = packing.best_fit(rows, shard_tokens=42_000).groupBy(F.shiftright("bin_id", 32).alias("shard")).agg(F.sum("length").alias("n")).collect()
+    assert len(got) == 20
+    assert max(r.n for r in got) < 1.3 * 42_000
+    assert sum(r.n for r in got) == 40_000 * 21
