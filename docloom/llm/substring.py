@@ -5,15 +5,22 @@ Documents arrive in batches.  For each batch:
 1. One scan fingerprints every window of ``width`` words and keeps, of each window, its
    smallest inner fingerprint (its *anchor*).  Equal windows have equal anchors, and
    neighbouring windows mostly share theirs, so about one fingerprint in ``width / 3`` words
-   has to be stored and nothing is missed.
-2. The batch's anchors are merge-joined with the sorted immutable runs of history.
-3. Windows with a shared anchor are verified: batch and history are read again, and windows
-   are compared by two independent 64-bit fingerprints of all their words.
-4. The batch's anchors become a new sorted run; when ``fanout`` runs have gathered they are
-   compacted into one.
-
-Whether an anchor is shared is asked of a bit table of fixed size (``filter_bits``).  It errs
-on one side only: a crowded table sends more windows to verification and changes no result.
+   has to be stored and nothing is missed.  The scan's result holds texts too, in files that
+   are numbered (``part``).
+2. The batch's anchors are merge-joined with the immutable runs of history: sorted, bucketed
+   tables of postings (anchor, id, part), which are not shuffled again.
+3. Only documents of history with a posting of a shared anchor are fetched, from the parts that
+   hold them.  They and the batch's documents with a shared anchor are verified: windows are
+   compared by two independent 64-bit fingerprints of all their words.
+4. The batch's postings become a new run of level 0.  ``fanout`` runs of one level are compacted
+   into one of the next, so a posting is rewritten once a level, not once a batch.
+
+The index is a folder: ``manifest`` names the runs and texts that make it up, and a new version
+of it is written when a batch is done, so a folder can be opened by a later session and a batch
+that broke off leaves the version before it as it was.
+
+Windows of documents with a shared anchor are filtered by a bit table of at most ``2**filter_bits``
+bits before they are shuffled.  It errs on one side only and changes no result.
 
 Documents of equal words form a class; only the first of them is compared window by window.
 """
@@ -21,15 +28,18 @@ Documents of equal words form a class; only the first of them is compared window
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import SMALL_ROWS, Scratch, small_or_not
+from .runtime import SMALL_ROWS, Scratch, delete, small_or_not
 from .words import U, Block, blocks, mix, powers, runs
 
 def whole_prints(block: Block, hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -61,9 +71,10 @@ def anchors(block: Block, hashes: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 
 def scanner(width: int):
-    """Arrow batches of (id, text) to (id, n_words, doc_a, doc_b, anchors)."""
+    """Arrow batches of (id, text) to (id, text, n_words, doc_a, doc_b, anchors, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         for batch in batches:
             for lo, hi, block in blocks(batch.column(1)):
                 hashes = block.hashes()
@@ -73,7 +84,8 @@ def scanner(width: int):
                 flat = np.concatenate(own) if own else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 a, b = whole_prints(block, hashes, 0), whole_prints(block, block.hashes(seed=1), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(block.n_words), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n_words", "doc_a", "doc_b", "anchors"])
+                made = [pa.array(block.n_words), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.full(hi - lo, part, np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *made], ["id", "text", "n_words", "doc_a", "doc_b", "anchors", "part"])
 
     return run
 
@@ -118,77 +130,157 @@ def to_spans(width: int):
     return run
 
 
+HOT = 20_000  # windows in more than a HOT-th of all rows are common; there are at most HOT of them
+RUNS = {"postings": ("h long, id long, part int, batch int", ["h"]), "whole": ("doc_a long, doc_b long", ["doc_a", "doc_b"])}
+
+
 class FingerprintIndex:
-    """Runs of historical anchors and documents; ``ingest`` judges a batch and adds it."""
-
-    def __init__(self, scratch: Scratch, width: int, fanout: int, filter_bits: int):
-        self.scratch, self.spark = scratch, scratch.spark
-        self.width, self.fanout, self.bits = width, fanout, filter_bits
-        self.runs: list[DataFrame] = []  # (h), sorted
-        self.whole: list[DataFrame] = []  # (doc_a, doc_b), sorted
-        self.history: list[tuple[DataFrame, DataFrame]] = []  # (id, text) and the ids to leave out
-
-    def _add(self, kept: list[DataFrame], run: DataFrame, keys: list[str]) -> None:
-        kept.append(self.scratch.table(run.repartition(*keys).sortWithinPartitions(*keys), "run"))
-        if len(kept) >= self.fanout:
-            merged = kept[0]
-            for more in kept[1:]:
-                merged = merged.union(more)
-            full = self.scratch.table(merged.distinct().repartition(*keys).sortWithinPartitions(*keys), "run")
-            self.scratch.free(*kept)
-            kept[:] = [full]
-
-    def _known(self, keys: DataFrame, kept: list[DataFrame], on: list[str]) -> DataFrame:
-        out = keys.limit(0)
-        for run in kept:
-            out = out.union(keys.join(run.hint("merge"), on, "left_semi"))
-        return out.distinct()
-
-    def _bit_table(self, shared: DataFrame) -> np.ndarray:
-        """2**bits bits, whatever the number of anchors."""
-        at, bit = f"shiftright(h & {(1 << self.bits) - 1}L, 5)", "shiftleft(1L, cast(h & 31 as int))"
+    """Runs of postings and texts of earlier batches; ``ingest`` judges a batch and adds it.
+
+    ``FingerprintIndex(spark, path)`` opens the index of a folder, or starts one there; the folder
+    must be one that driver and executors share.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, width: int = 50, fanout: int = 3, filter_bits: int = 27, buckets: int = 64):
+        self.spark, self.path, self.scratch = spark, path.rstrip("/"), Scratch(spark, "substring")
+        self.width, self.fanout, self.bits, self.buckets = width, fanout, filter_bits, buckets
+        self.version, self.runs, self.texts = 0, {"postings": [], "whole": []}, []  # (level, folder); folders
+        self.names: dict[str, str] = {}
+        self.fetched: DataFrame | None = None  # ids of history read by the last batch
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            told = max((json.loads(r.value) for r in spark.read.text(f"{self.path}/manifest/*").collect()), key=lambda m: m["version"])
+            if (told["width"], told["buckets"]) != (width, buckets):
+                raise ValueError(f"the index was made with width {told['width']} and {told['buckets']} buckets")
+            self.version, self.texts = told["version"], told["texts"]
+            self.runs = {k: [tuple(x) for x in v] for k, v in told["runs"].items()}
+
+    def _commit(self) -> None:
+        self.version += 1
+        told = json.dumps({"version": self.version, "width": self.width, "buckets": self.buckets, "runs": self.runs, "texts": self.texts})
+        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version:06d}")
+
+    def _read(self, kind: str, folder: str) -> DataFrame:
+        """A run as a bucketed table, known to this session by a name of its own."""
+        if folder not in self.names:
+            columns, keys = RUNS[kind]
+            self.names[folder] = f"docloom_{uuid.uuid4().hex}"
+            by = ", ".join(keys)
+            self.spark.sql(f"create table {self.names[folder]} ({columns}) using parquet clustered by ({by}) sorted by ({by}) into {self.buckets} buckets location '{folder}'")
+        return self.spark.table(self.names[folder])
+
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        columns, keys = RUNS[kind]
+        folder, name = f"{self.path}/{kind}/{uuid.uuid4().hex[:12]}", f"docloom_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", folder).saveAsTable(name)
+        self.names[folder] = name
+        return folder
+
+    def _add(self, kind: str, rows: DataFrame) -> list[str]:
+        """Adds a run; gives the folders that compaction left without use."""
+        kept, old = self.runs[kind], []
+        kept.append((0, self._write(kind, rows)))
+        while len(same := [x for x in kept if x[0] == kept[-1][0]]) >= self.fanout:
+            merged = self._read(kind, same[0][1])
+            for _, folder in same[1:]:
+                merged = merged.union(self._read(kind, folder))
+            full = (same[0][0] + 1, self._write(kind, merged))
+            old += [folder for _, folder in same]
+            kept[:] = [x for x in kept if x not in same] + [full]
+        return old
+
+    def close(self) -> None:
+        """Takes the names of runs out of the session; the folder stays."""
+        for name in self.names.values():
+            self.spark.sql(f"drop table if exists {name}")
+        self.names = {}
+
+    def _matching(self, kind: str, keys: DataFrame) -> DataFrame | None:
+        """Rows of all runs whose key is among ``keys`` (distinct)."""
+        out = None
+        for _, folder in self.runs[kind]:
+            found = self._read(kind, folder).join(keys.hint("merge"), RUNS[kind][1])
+            out = found if out is None else out.union(found)
+        return out
+
+    def _bit_table(self, shared: DataFrame, n: int) -> tuple[np.ndarray, int]:
+        """(bits, logarithm of their number): sixteen for each anchor, but not more than asked."""
+        bits = min(self.bits, max(6, (16 * n).bit_length()))
+        at, bit = f"shiftright(h & {(1 << bits) - 1}L, 5)", "shiftleft(1L, cast(h & 31 as int))"
         words = shared.groupBy(F.expr(at).alias("at")).agg(F.expr(f"bit_or({bit})").alias("bits")).toArrow()
-        table = np.zeros(1 << (self.bits - 5), np.uint32)
+        table = np.zeros(1 << (bits - 5), np.uint32)
         table[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-        return table.view(np.uint8)
-
-    def _without(self, docs: DataFrame, copies: DataFrame) -> DataFrame:
-        """Documents but for copies; the list of copies is broadcast only when it is short."""
-        return docs.join(small_or_not(copies), "id", "left_anti")
+        return table.view(np.uint8), bits
+
+    def _fetch(self, wanted: DataFrame) -> DataFrame:
+        """(id, text) of history for written (batch, part, id), from the files that hold them."""
+        out = self.spark.createDataFrame([], "id long, text string")
+        parts: dict[int, list[int]] = {}
+        for r in wanted.select("batch", "part").distinct().toArrow().to_pylist():  # no more than there are files
+            parts.setdefault(r["batch"], []).append(r["part"])
+        for batch, some in sorted(parts.items()):
+            texts = self.spark.read.parquet(self.texts[batch]).where(F.col("part").isin(some)).select("id", "text")
+            out = out.union(texts.join(small_or_not(wanted.where(F.col("batch") == batch).select("id").distinct()), "id", "left_semi"))
+        return out
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """Word ranges to remove: (id, tag, lo, hi); tag tells texts of one id apart."""
-        scan = self.scratch.table(docs.mapInArrow(scanner(self.width), "id long, n_words long, doc_a long, doc_b long, anchors array<long>"), "scan")
+        """Word ranges to remove of (id, text) rows: (id, tag, lo, hi); tag tells texts of one id apart.
+
+        A window goes when it occurs in an earlier batch, or in this one under a smaller id.
+        """
+        table, batch = self.scratch.table, len(self.texts)
+        folder = f"{self.path}/texts/{uuid.uuid4().hex[:12]}"
+        docs.mapInArrow(scanner(self.width), "id long, text string, n_words long, doc_a long, doc_b long, anchors array<long>, part int").write.partitionBy("part").parquet(folder)
+        scan = self.spark.read.schema("id long, text string, n_words long, doc_a long, doc_b long, anchors array<long>, part int").parquet(folder)
         prints = ["doc_a", "doc_b"]
         first = scan.groupBy(*prints).agg(F.min("id").alias("first"))
-        old = self._known(first.select(*prints), self.whole, prints).withColumn("old", F.lit(True))
-        seen = first.join(old, prints, "left")
-        judged = self.scratch.table(scan.join(seen, prints).select("id", "n_words", *prints, "anchors", (F.col("old").isNotNull() | (F.col("id") > F.col("first"))).alias("copy")), "judged")
-        self.scratch.free(scan)
+        old = self._matching("whole", first.select(*prints))
+        seen = first.withColumn("old", F.lit(False)) if old is None else first.join(old.distinct().withColumn("old", F.lit(True)), prints, "left").fillna(False, ["old"])
+        again = table(seen.join(scan.groupBy(*prints).agg(F.count("*").alias("n")), prints).where("old or n > 1").drop("n"), "again")
+        # the few classes with copies are looked up; other documents are their own
+        judged = scan.select("id", "n_words", *prints, "part").join(small_or_not(again), prints, "left")
+        judged = table(judged.select("id", "n_words", *prints, "part", F.coalesce(F.col("old") | (F.col("id") > F.col("first")), F.lit(False)).alias("copy")), "judged")
 
         long_ = judged.where(f"n_words >= {self.width}")
         entire = long_.where("copy").select("id", F.expr("cast(shiftright(shiftleft(doc_a, 32), 32) as int)").alias("tag"), F.array(F.lit(0)).alias("lo"), F.array(F.col("n_words").cast("int")).alias("hi"))
         # an id is left out of the window scan when all its texts are copies
-        copies = self.scratch.table(judged.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id"), "copies")
-        fresh = self.scratch.table(judged.where("not copy").select("id", F.explode("anchors").alias("h")), "fresh")
-
-        counted = fresh.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        shared = self.scratch.table(self._known(counted.select("h"), self.runs, ["h"]).union(counted.where("lo < hi").select("h")).distinct(), "shared")
-        table = self.spark.sparkContext.broadcast(self._bit_table(shared))
+        copies = small_or_not(table(judged.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id"), "copies"))
+        fresh = table(scan.join(copies, "id", "left_anti").select(F.explode("anchors").alias("h"), "id", "part"), "fresh")
+
+        counted = table(fresh.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "counted")
+        found = self._matching("postings", counted.select("h"))
+        found = table(found.select("h", "id", "part", "batch"), "found") if found is not None else None
+        shared = counted.where("lo < hi").select("h")
+        shared = table(shared.union(found.select("h")).distinct() if found is not None else shared, "shared")
+        bits, size = self._bit_table(shared, shared.count())
+        bits = self.spark.sparkContext.broadcast(bits)
         schema = "a long, b long, id long, tag int, pos int, fresh boolean"
-        windows = self._without(docs, copies).mapInArrow(verifier(self.width, table, self.bits, True), schema)
-        for past, skip in self.history:
-            windows = windows.union(self._without(past, skip).mapInArrow(verifier(self.width, table, self.bits, False), schema))
-        windows = self.scratch.table(windows, "windows")
-        owner = windows.groupBy("a", "b").agg(F.min(F.struct("fresh", "id")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("a", "b", "owner")
-        hit = windows.where("fresh").join(owner, ["a", "b"]).where("not owner.fresh or owner.id < id")
+        touched = table(fresh.join(small_or_not(shared), "h", "left_semi").select("id").distinct(), "touched")
+        mine = scan.select("id", "text").join(small_or_not(touched), "id", "left_semi")
+        windows = mine.mapInArrow(verifier(self.width, bits, size, True), schema)
+        if found is not None:
+            self.fetched = table(found.select("id", "part", "batch").distinct(), "fetched")
+            windows = windows.union(self._fetch(self.fetched).mapInArrow(verifier(self.width, bits, size, False), schema))
+        windows = table(windows, "windows")
+        owner = table(windows.groupBy("a", "b").agg(F.min(F.struct("fresh", "id")).alias("owner"), F.count("*").alias("n")).where("n > 1"), "owner")
+        # a common window is looked up in a broadcast list of at most HOT, so no task gathers it
+        most = max(1000, windows.count() // HOT)
+        hot, cold = F.broadcast(owner.where(F.col("n") > most).drop("n")), owner.where(F.col("n") <= most).drop("n")
+        mine = windows.where("fresh")
+        hit = mine.join(hot, ["a", "b"]).unionByName(mine.join(hot.select("a", "b"), ["a", "b"], "left_anti").join(cold, ["a", "b"])).where("not owner.fresh or owner.id < id")
         spans = hit.groupBy("id", "tag").agg(F.collect_list("pos").alias("pos")).mapInArrow(to_spans(self.width), "id long, tag int, lo array<int>, hi array<int>")
-        spans = self.scratch.table(spans, "spans").union(entire)
-        self.scratch.free(windows)
-
-        self._add(self.runs, fresh.select("h").distinct(), ["h"])
-        self._add(self.whole, judged.where("not copy").select(*prints).distinct(), prints)
-        self.history.append((docs, copies))
+        spans = table(spans, "spans").union(entire)
+        self.scratch.free(windows, owner, counted, shared, touched)
+
+        self.texts.append(folder)
+        done = self._add("postings", fresh.select("h", "id", "part", F.lit(batch).alias("batch")).distinct())
+        done += self._add("whole", judged.where("not copy").select(*prints).distinct())
+        self._commit()
+        self.scratch.free(fresh)
+        for unused in done:
+            if unused in self.names:
+                self.spark.sql(f"drop table if exists {self.names.pop(unused)}")
+            delete(self.spark, unused)
         return spans
 
 
@@ -242,7 +334,7 @@ def _runs_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, index: np.nda
     return b"\n".join(data[start[i] : end[j]].tobytes() for i, j in zip(lo, hi, strict=True)) if len(index) else b""
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 3, fanout: int = 2, filter_bits: int = 27) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 3, fanout: int = 2, filter_bits: int = 27, path: str | None = None) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed, kept_sha256 and kept_text.
 
     A word goes when a window of ``width`` consecutive words covers it whose words also start
@@ -254,10 +346,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts have no words.  Rows with a null id are neither removed from nor compared with.
     Rows that repeat an id are one document: they do not remove words from each other.  Texts
     shorter than a window lose nothing.  Result columns replace input columns of their names.
+
+    The rows are ingested in ``batches`` ranges of ids.  ``path`` keeps the index there and takes
+    what it already holds for earlier documents; without it the index goes when the ranges are
+    found.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    index = FingerprintIndex(scratch, width, fanout, filter_bits)
+    index = FingerprintIndex(docs.sparkSession, path or scratch.folder("index"), width, fanout, filter_bits)
     parts = [i / batches for i in range(1, batches)]
     bounds = sorted(set(plain.where("id is not null").approxQuantile("id", parts, 0.01))) if parts else []
     edges = [None, *map(int, bounds), None]
@@ -269,6 +365,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = index.ingest(part)
         spans = found if spans is None else spans.union(found)
     spans = scratch.table(spans.groupBy("id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans")), "ranges")
+    index.close()
+    if path is None:
+        delete(docs.sparkSession, index.path)
     size = spans.select(F.sum(1 + F.aggregate("spans", F.lit(0), lambda n, s: n + 1 + F.size(s["lo"])))).first()[0] or 0
     made = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     rest = [c for c in docs.columns if c not in (text_col, *made)]

@@ -157,3 +157,36 @@ def test_words_do_not_run_over_the_ends_of_texts(spark):
     rows = [(1, f"{left} {right}"), (2, left), (3, right), (4, f"{left}\n{right}")]
     got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 0, 4: 60}
+
+
+def test_an_index_is_kept_and_reads_only_matched_history(spark, tmp_path):
+    """Three batches by two sessions' worth of objects; fetched ids are those that share an anchor."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"v{rng.randrange(100_000)}" for _ in range(n))
+    passages = [prose(70) for _ in range(3)]
+    batches = [[(100 * b + i, prose(120)) for i in range(50)] for b in range(3)]
+    batches[0][3] = (3, f"{prose(30)} {passages[0]} {prose(30)}")
+    batches[0][4] = (4, f"{prose(30)} {passages[1]} {prose(30)}")
+    batches[1][5] = (105, f"{prose(30)} {passages[0]} {prose(30)}")
+    batches[1][6] = (106, f"{prose(30)} {passages[2]} {prose(30)}")
+    batches[2][7] = (207, f"{prose(30)} {passages[2]} {prose(30)}")
+    batches[2][8] = (208, f"{prose(30)} {passages[1]} {prose(30)}")
+    batches[2][9] = (209, batches[0][10][1])
+    path, got, read = f"file://{tmp_path}/index", {}, []
+    for batch in batches:
+        index = substring.FingerprintIndex(spark, path, fanout=2)
+        for r in index.ingest(spark.createDataFrame(batch, "id long, text string")).collect():
+            got.setdefault(r.id, []).extend(zip(r.lo, r.hi, strict=True))
+        read.append({r.id for r in index.fetched.collect()} if index.fetched is not None else set())
+        index.close()
+    assert read == [set(), {3}, {4, 106}]  # the whole copy 209 is told by its print alone
+    assert got == {105: [(30, 100)], 207: [(30, 100)], 208: [(30, 100)], 209: [(0, 120)]}
+    assert substring.FingerprintIndex(spark, path, fanout=2).version == 3
+
+
+def test_a_common_window_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 5)
+    line = " ".join(["same"] * 60)
+    rows = [(i, f"{line} {i} end") for i in range(400)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: 60 if i else 0 for i in range(400)}
