@@ -25,7 +25,7 @@ def tokens(text: str | None) -> list[str | None]:
     return [*lowered(text), None]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"lexicon": 20, "frequent": 40}, {"lexicon": 0, "frequent": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"frequent": 40, "bucket_tokens": 20_000}, {"frequent": 0}])
 def test_base_scores_match_brute_force(spark, sizes):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(None, "the end"), (-1, None), (-2, ""), (-3, "unheard-of Straße"), (-3, "unheard-of Straße")], "doc_id long, text string")
@@ -59,21 +59,174 @@ def test_probabilities_of_one_word_texts_sum_to_less_than_one(spark):
     others = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 != 2)
     docs = [(next(ids) if i >= 10_000 else next(others), t) for i, t in docs]
     for lexicon in (5, 100):
-        got = pitmanyor.score(spark.createDataFrame(docs, "doc_id long, text string"), lexicon=lexicon).where("held_out").collect()
+        got = pitmanyor.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=lexicon).where("held_out").collect()
         seen = [r for r in got if r.n_known == r.n_tokens]
         assert 0.2 < sum(10**r.score for r in seen) < 1
 
 
-def test_seating_keeps_its_bounds():
-    rng = np.random.default_rng(3)
-    c = rng.integers(1, 3000, 500)
-    t = pitmanyor.seat(c, np.zeros(500), np.full(500, 0.01), 0.5, 1.0, rng.integers(0, 1 << 63, 500).astype(np.uint64))
-    assert ((t >= 1) & (t <= c)).all()
-    # the expected number of tables of one dish with p0 = 1 follows the Chinese restaurant
-    n, d, theta = 200, 0.5, 1.0
-    tables = pitmanyor.seat(np.full(4000, n), np.zeros(4000), np.ones(4000), d, theta, rng.integers(0, 1 << 63, 4000).astype(np.uint64))
-    want = math.exp(math.lgamma(theta + n + d) + math.lgamma(theta + 1) - math.lgamma(theta + n) - math.lgamma(theta + d)) / d - theta / d
-    assert tables.mean() == pytest.approx(want, rel=0.03)
+def table_counts(c: int, a: float, d: float) -> np.ndarray:
+    """P(t) proportional to S_d(c, t) * a**t, by the recursion alone."""
+    row = [0.0, 1.0]
+    for n in range(1, c):
+        row = [0.0] + [(row[t] * (n - d * t) if t <= n else 0.0) + row[t - 1] for t in range(1, n + 2)]
+        top = max(row)
+        row = [x / top for x in row]
+    w = np.array([x * a**t for t, x in enumerate(row)])
+    return w / w.sum()
+
+
+@pytest.mark.parametrize(("c", "a", "d"), [(5, 0.3, 0.5), (40, 4.0, 0.8), (64, 0.01, 0.2)])
+def test_small_dishes_are_seated_by_their_conditional(c, a, d):
+    t = pitmanyor.seat_small(np.full(60_000, c), np.full(60_000, a), d, np.random.default_rng(1))
+    want = table_counts(c, a, d)
+    assert np.abs(np.bincount(t, minlength=c + 1) / 60_000 - want).max() < 0.01
+    assert pitmanyor.mean_tables(a, d)[c] == pytest.approx((want * np.arange(c + 1)).sum(), rel=1e-6)
+
+
+@pytest.mark.parametrize(("c", "a", "d"), [(80, 0.2, 0.7), (200, 3.0, 0.6), (100, 20.0, 0.5), (90, 500.0, 0.5)])
+def test_metropolis_steps_keep_the_conditional_of_large_dishes(c, a, d):
+    n, rng = 1500, np.random.default_rng(2)
+    top, t, like = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(pitmanyor.DISCOUNTS)))
+    pitmanyor.seat_large(np.full(n, c), np.full(n, a), d, rng, top, t, like, steps=150)
+    want = table_counts(c, a, d)
+    mean = (want * np.arange(c + 1)).sum()
+    sd = math.sqrt((want * (np.arange(c + 1) - mean) ** 2).sum())
+    assert abs(t.mean() - mean) < 0.15 * sd + 0.02
+    assert t.std() == pytest.approx(sd, rel=0.15)
+    assert ((top >= 1) & (top + t - 1 <= c)).all()
+
+
+class Direct:
+    """One customer at a time: lifted from a table at random and seated again, in both levels."""
+
+    def __init__(self, pairs: list[tuple[int, int]], kinds: int, d: float, theta: float):
+        self.d, self.theta, self.h, self.rng = d, theta, 1 / (kinds + 1), random.Random(3)
+        self.seats: dict = {}
+        self.pairs = pairs
+        for u, w in pairs:
+            self.add(u, w)
+
+    def p(self, u: int | None, w: int) -> float:
+        dishes = self.seats.get(u, {})
+        c, t = sum(map(sum, dishes.values())), sum(map(len, dishes.values()))
+        own = dishes.get(w, [])
+        above = self.h if u is None else self.p(None, w)
+        return (sum(own) - self.d * len(own) + (self.theta + self.d * t) * above) / (self.theta + c) if c else above
+
+    def add(self, u: int | None, w: int) -> None:
+        dishes = self.seats.setdefault(u, {})
+        own = dishes.setdefault(w, [])
+        t = sum(map(len, dishes.values()))
+        fresh = (self.theta + self.d * t) * (self.h if u is None else self.p(None, w))
+        x = self.rng.random() * (fresh + sum(own) - self.d * len(own))
+        for i, n in enumerate(own):
+            x -= n - self.d
+            if x < 0:
+                own[i] += 1
+                return
+        own.append(1)
+        if u is not None:
+            self.add(None, w)
+
+    def lift(self, u: int | None, w: int) -> None:
+        own = self.seats[u][w]
+        i = self.rng.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        if not own[i]:
+            del own[i]
+            if u is not None:
+                self.lift(None, w)
+
+    def sweep(self) -> None:
+        for u, w in self.pairs:
+            self.lift(u, w)
+            self.add(u, w)
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_sampler_agrees_with_one_customer_at_a_time():
+    import pyarrow as pa
+
+    rng, kinds, d, theta = random.Random(8), 6, 0.4, 1.0
+    tokens_ = [0]
+    for _ in range(260):
+        tokens_.append((tokens_[-1] + rng.choice([0, 1, 1, 1, 2])) % kinds if rng.random() < 0.8 else rng.randrange(kinds))
+    pairs = list(zip(tokens_[:-1], tokens_[1:], strict=True))
+    direct, want, rounds = Direct(pairs, kinds, d, theta), np.zeros((kinds, kinds)), 600
+    for _ in range(100):
+        direct.sweep()
+    for _ in range(rounds):
+        direct.sweep()
+        want += np.array([[direct.p(u, w) for w in range(kinds)] for u in range(kinds)]) / rounds
+
+    c = np.bincount(np.array(tokens_[:-1]), minlength=kinds)
+    lex = pitmanyor.Lexicon(np.arange(kinds - 1).astype(np.uint64), c[:-1], int(c[-1]), len(pairs), 1)
+    u, w = (np.array(x) for x in zip(*sorted(pairs), strict=True))
+    table = pa.table({"bucket": pa.array([0], pa.int32()), "size": pa.array([len(u)], pa.int32()), "u": [pitmanyor.packed(np.diff(u, prepend=0))], "w": [pitmanyor.packed(w)], "n": [pitmanyor.packed(np.ones(len(u)))]})
+    from docloom.llm.pitmanyor import Root, gather, summed, sweep, unpacked
+
+    state, root, gen = gather(table).to_batches()[0], Root(kinds, {}, kinds, (d, theta)), np.random.default_rng(1)
+    p0, got, width = np.full(kinds, 1 / kinds), np.zeros((kinds, kinds)), 1 + len(pitmanyor.DISCOUNTS) * len(pitmanyor.STRENGTHS)
+    for i in range(100 + rounds):
+        (state,) = sweep(Held(lex), Held((p0, 1e-9, d, theta, np.zeros(kinds))), i, False)(iter([state]))
+        (sums,) = summed(width + 2 * kinds)(iter([state.select(["sums"])]))
+        by_word = np.zeros(width + 2 * kinds)
+        by_word[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+        old = p0
+        p0, _ = root.seat(np.rint(by_word[width : width + kinds]).astype(np.int64), 0.0, gen)
+        if i >= 100:
+            row = state.to_pylist()[0]
+            uu, ww, n, t = np.cumsum(unpacked(row["u"], row["size"])), *(unpacked(row[k], row["size"]) for k in "wnt")
+            pred = np.zeros((kinds, kinds))
+            for x in range(kinds):
+                m = uu == x
+                pred[x] = (theta + d * t[m].sum()) / (theta + n[m].sum()) * p0
+                pred[x, ww[m]] += (n[m] - d * t[m]) / (theta + n[m].sum())
+            got += pred / rounds
+    assert old.sum() < 1
+    assert np.abs(got - want).max() < 0.01
+    assert np.abs(got / want - 1).max() < 0.12
+
+
+def test_discount_and_strength_are_recovered():
+    """Seatings of simulated restaurants put the most likely discount and strength near the truth."""
+    rng, d, theta = np.random.default_rng(4), 0.6, 3.0
+    like, tables, customers = 0.0, [], []
+    for _ in range(150):
+        sizes: list[int] = []
+        for i in range(120):  # one dish a table: each table is a dish of its own
+            x = rng.random() * (theta + i)
+            k = int(np.searchsorted(np.cumsum([n - d for n in sizes]), x)) if sizes else 0
+            sizes = [n + (j == k) for j, n in enumerate(sizes)] if k < len(sizes) else [*sizes, 1]
+        like = like + pitmanyor.size_likelihood(np.array(sizes)).sum(0)
+        tables.append(len(sizes)), customers.append(120)
+    both = pitmanyor.restaurant_likelihood(np.array(tables), np.array(customers)) + like[:, None]
+    i, j = np.unravel_index(np.argmax(both), both.shape)
+    assert abs(pitmanyor.DISCOUNTS[i] - d) <= 0.1
+    assert pitmanyor.STRENGTHS[j] in (1.0, 3.0, 10.0)
+
+
+def test_repeated_texts_score_higher_than_the_base_tells(spark):
+    """A text seen twice in training is told from a shuffled one, which a model of single words cannot."""
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=80))) for i in range(300)]
+    train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(train[i], t) for i, (_, t) in enumerate(rows)]
+    twice = rows[5][1]
+    mixed = " ".join(rng.sample(twice.split(), 80))
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = [*rows, (train[400], twice), (held[0], twice), (held[1], mixed), (held[2], twice), (held[3], "x " * 200_000)]
+    got = {r.doc_id: r for r in pitmanyor.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=100, bucket_tokens=5000).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 20
+    assert got[held[0]].score == pytest.approx(got[held[2]].score)
+    assert got[held[0]].perplexity == pytest.approx(10 ** (-got[held[0]].score / 81))
+    assert got[held[3]].n_tokens == 200_001
 
 
 def test_scores_without_training_rows(spark):
