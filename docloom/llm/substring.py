@@ -138,21 +138,23 @@ class FingerprintIndex:
     """Runs of postings and texts of earlier batches; ``ingest`` judges a batch and adds it.
 
     ``FingerprintIndex(spark, path)`` opens the index of a folder, or starts one there; the folder
-    must be one that driver and executors share.
+    must be one that driver and executors share.  Runs have ``buckets`` files, by default as many
+    as shuffles have partitions when the index is started, so that joins move the batch alone.
     """
 
-    def __init__(self, spark: SparkSession, path: str, width: int = 50, fanout: int = 3, filter_bits: int = 27, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, width: int = 50, fanout: int = 3, filter_bits: int = 27, buckets: int | None = None):
         self.spark, self.path, self.scratch = spark, path.rstrip("/"), Scratch(spark, "substring")
-        self.width, self.fanout, self.bits, self.buckets = width, fanout, filter_bits, buckets
+        self.width, self.fanout, self.bits = width, fanout, filter_bits
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.version, self.runs, self.texts = 0, {"postings": [], "whole": []}, []  # (level, folder); folders
         self.names: dict[str, str] = {}
         self.fetched: DataFrame | None = None  # ids of history read by the last batch
         root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
         if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
             told = max((json.loads(r.value) for r in spark.read.text(f"{self.path}/manifest/*").collect()), key=lambda m: m["version"])
-            if (told["width"], told["buckets"]) != (width, buckets):
-                raise ValueError(f"the index was made with width {told['width']} and {told['buckets']} buckets")
-            self.version, self.texts = told["version"], told["texts"]
+            if told["width"] != width:
+                raise ValueError(f"the index was made with width {told['width']}")
+            self.version, self.texts, self.buckets = told["version"], told["texts"], told["buckets"]
             self.runs = {k: [tuple(x) for x in v] for k, v in told["runs"].items()}
 
     def _commit(self) -> None:
