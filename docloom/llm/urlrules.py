@@ -1,21 +1,22 @@
 """URL filtering by host rules and by association rules, with DataFrame operations only.
 
 Labelled urls become sets of tokens (host labels and their parts, path segments with numbers
-folded, extension, query pairs, fragment) with one more item when the label is bad.  Spark's
-FP-growth gives association rules; those that imply the bad item are pruned by support,
-confidence and lift, and by simpler rules that are as sure.  A rule is an entry of an inverted
+folded, extension, query pairs, fragment).  Spark's FP-growth gives the combinations that bad
+rows have; as rules that imply the bad label they are pruned by support, confidence and lift,
+and by simpler rules that are as sure.  A rule is an entry of an inverted
 index from token to rules; it fires on a url that has as many of its tokens as it has.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, small_or_not
 
-BAD = "@bad"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,39 +63,62 @@ def tokens_of(url: Column) -> Column:
     ))
 
 
-def mine(labelled: DataFrame, scratch: Scratch, support: float = 0.001, least: int = 10, confidence: float = 0.6, lift: float = 1.5, common: float = 1.0) -> DataFrame:
+def mine(labelled: DataFrame, scratch: Scratch, support: float = 0.001, least: int = 10, confidence: float = 0.6, lift: float = 1.5, common: float = 1.0, steps: dict[str, int] | None = None) -> DataFrame:
     """Rules (rule, items, size, confidence, support) from rows (tokens array, bad boolean).
 
-    A token goes before mining only where no rule can need it: when fewer bad rows than the
-    support asks for have it, or when all rows have it.  ``common`` below 1 also leaves out
-    tokens in more than that part of the rows, with the rules that have them.  Empty when no
-    row is labelled.
+    The consequent is fixed: FP-growth runs over the bad rows alone, and what it finds is then
+    counted in the others.  A token goes before mining only where no rule can need it: when fewer
+    bad rows than the support asks for have it, or when all rows have it.  ``common`` below 1 also
+    leaves out tokens in more than that part of the rows, with the rules that have them.  Empty
+    when no row is labelled or none is bad.  ``steps`` is given the number of rules that each
+    pruning left.
     """
+    steps = {} if steps is None else steps
     rows = scratch.table(labelled.where("bad is not null"), "labelled")
     n = rows.count()
     empty = rows.sparkSession.createDataFrame([], "rule long, items array<string>, size int, confidence double, support double")
     used = rows.where("bad or size(tokens) > 0")
-    m = used.count()
-    if not m:
+    m, n_bad = used.count(), used.where("bad").count()
+    steps |= {"labelled": n, "bad": n_bad}
+    if not n_bad:
         return empty
     support = max(support, least / n)
+    wanted = max(1, ceil(support * m - 1e-9))
     counts = used.select(F.explode("tokens").alias("t"), "bad").groupBy("t").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
-    may = (F.col("bad") >= support * m * (1 - 1e-9)) & (F.col("n") < m) & (F.col("n") <= common * n)
-    kept = small_or_not(scratch.table(counts.where(may).select("t"), "kept"))
-    left = used.withColumn("row", F.monotonically_increasing_id())
-    left = scratch.table(left, "used")
-    tokens = left.select("row", F.explode("tokens").alias("t")).join(kept, "t").groupBy("row").agg(F.collect_list("t").alias("t"))
-    t = F.coalesce("t", F.array().cast("array<string>"))
-    items = scratch.table(left.join(tokens, "row", "left").select(F.when(F.col("bad"), F.array_append(t, F.lit(BAD))).otherwise(t).alias("items")), "items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    sure = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where((F.col("lift") >= lift) & (F.size("antecedent") > 0))
-    sure = scratch.table(sure.select(F.sort_array("antecedent").alias("items"), "confidence", "support"), "sure")
-    sure = sure.withColumn("rule", F.xxhash64("items")).withColumn("size", F.size("items"))
-    # a rule goes when a rule with part of its tokens is as sure
-    index = sure.select(F.explode("items").alias("t"), F.col("rule").alias("small"), F.col("size").alias("small_size"), F.col("confidence").alias("small_confidence"))
-    covers = sure.select("rule", "size", "confidence", F.explode("items").alias("t")).join(index, "t").where("small_size < size and small_confidence >= confidence")
-    beaten = covers.groupBy("rule", "small", "small_size").count().where("count = small_size").select("rule").distinct()
-    return scratch.table(sure.join(beaten, "rule", "left_anti").select("rule", "items", "size", "confidence", "support"), "rules")
+    may = (F.col("bad") >= wanted) & (F.col("n") < m) & (F.col("n") <= common * n)
+    kept = scratch.table(counts.where(may).select("t", "n"), "kept")
+    steps["tokens"] = kept.count()
+    # rows of equal tokens are one with a count
+    sets = used.withColumn("row", F.monotonically_increasing_id())
+    sets = scratch.table(sets, "used").select("row", "bad", F.explode("tokens").alias("t")).join(small_or_not(kept.select("t")), "t").groupBy("row", "bad").agg(F.sort_array(F.collect_list("t")).alias("items"))
+    sets = scratch.table(sets.groupBy("items").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good")), "sets")
+    bad = sets.where("n_bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("n_bad"))))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (wanted - 0.5) / n_bad)).fit(bad.select("items"))
+    # FP-growth's shares are of the rows it saw; it gives counts
+    found = model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("bad")).withColumn("rule", F.xxhash64("items")).withColumn("size", F.size("items"))
+    found = keyed(scratch.table(found, "found"), kept, scratch)
+    steps["supported"] = found.count()
+    good = sets.where("n_good > 0").select("items", "n_good", F.explode("items").alias("key"))
+    inside = F.size(F.array_intersect(good["items"], found["items"])) == F.col("size")
+    good = good.join(found, "key").where(inside).groupBy("rule").agg(F.sum("n_good").alias("good"))
+    sure = found.join(good, "rule", "left").withColumn("confidence", F.col("bad") / (F.col("bad") + F.coalesce("good", F.lit(0)))).withColumn("support", F.col("bad") / float(m))
+    sure = scratch.table(sure.select("rule", "items", "size", "key", "confidence", "support").where(F.col("confidence") >= confidence), "confident")
+    steps["confident"] = sure.count()
+    sure = sure.where(F.col("confidence") / (n_bad / m) >= lift)
+    steps["lifted"] = sure.count()
+    # a rule goes when a rule with part of its tokens is as sure; the smaller is looked up by its rarest token
+    small = sure.select("key", F.col("items").alias("part"), F.col("size").alias("part_size"), F.col("confidence").alias("part_confidence"))
+    over = sure.select("rule", "items", "size", "confidence", F.explode("items").alias("key")).join(small, "key")
+    beaten = over.where("part_size < size and part_confidence >= confidence and size(array_intersect(items, part)) = part_size").select("rule").distinct()
+    rules = scratch.table(sure.join(beaten, "rule", "left_anti").select("rule", "items", "size", "confidence", "support"), "rules")
+    steps["rules"] = rules.count()
+    return rules
+
+
+def keyed(rules: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rules`` with ``key``, the token of each that the fewest rows have."""
+    each = rules.select("rule", F.explode("items").alias("t")).join(small_or_not(tokens), "t").groupBy("rule").agg(F.min_by("t", F.struct("n", "t")).alias("key"))
+    return scratch.table(rules.join(each, "rule"), "keyed")
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
