@@ -1,12 +1,16 @@
 """Exact pairs of near-equal embeddings by dual traversal of cover trees.
 
 Cosine c of two vectors is Euclidean distance sqrt(2 - 2c) of their directions, a metric.
-Vectors of one label are dealt to cells around pivots (the top of the tree, chosen on a bounded
-sample); cells larger than a tile are split.  Two tiles meet only if their pivots are no farther
-apart than both covering radii and the threshold distance.  A tile pair is one task: each tile
-gets nested levels of centres whose radii halve, and the two trees are walked level by level;
-node pairs farther apart than their covering radii and the threshold are pruned.  What is left
-is decided by cosine in double precision.
+The vectors of a label are the root of a tree.  As long as a node holds more than a tile and
+spans more than the threshold distance, it is split around pivots: some of its own members, and
+the one farthest from its centre.  Node pairs are walked down alongside: a pair of nodes becomes
+the pairs of their children whose centres are no farther apart than both covering radii and the
+threshold distance.  So pairs are pruned at every level before the next is made.
+
+Of the node pairs left, those that lie within the threshold distance altogether link without a
+look at their members: a tight group of any size costs a sum for each member.  The rest are tile
+pairs, one task each: a tile gets nested levels of centres whose radii halve, and the two trees
+are walked level by level in the same way.  What is left is decided by cosine in double precision.
 
 Equal vectors form one class with a count.  A task returns the number of links of each class
 and as many links as join the components it sees, so nothing grows with the square of a group.
@@ -20,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import forest
-from .runtime import Scratch, components
+from .runtime import Scratch, components, small_or_not, spread_join
 
 TILE = 2048
-MOST_PIVOTS = 256
+PIVOTS = 64
+SLACK = 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -143,7 +148,7 @@ def join_tiles(least: float):
 
 
 def nearest(key, vectors: pa.Table, pivots: pa.Table) -> pa.Table:
-    """Vectors of one salted label to their nearest pivot: (label, dim, cls, rep, mult, vec, cell, far)."""
+    """Vectors of one salted node to their nearest pivot: (label, dim, node, cls, rep, mult, vec, cell, far)."""
     x, p = unit(_vectors(vectors.column("vec"))), unit(_vectors(pivots.column("vec")))
     number = pivots.column("pivot").to_numpy()
     cell, far = np.empty(len(x), np.int32), np.empty(len(x))
@@ -151,7 +156,28 @@ def nearest(key, vectors: pa.Table, pivots: pa.Table) -> pa.Table:
         d = distances(x[lo : lo + 4096], p)
         k = np.argmin(d, axis=1)
         cell[lo : lo + 4096], far[lo : lo + 4096] = number[k], d[np.arange(len(d)), k]
-    return vectors.select(["label", "dim", "cls", "rep", "mult", "vec"]).append_column("cell", pa.array(cell)).append_column("far", pa.array(far))
+    return vectors.select(["label", "dim", "node", "cls", "rep", "mult", "vec"]).append_column("cell", pa.array(cell)).append_column("far", pa.array(far))
+
+
+KEYS = ["label", "dim", "node"]
+
+
+def split(members: DataFrame, sizes: DataFrame, number: int, kind: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(members in child nodes, (KEYS, cell, vec) of the pivots) of nodes with ``sizes`` (KEYS, m)."""
+    members = members.join(small_or_not(sizes), KEYS)
+    place = F.pmod(F.xxhash64("cls", F.lit(number)), F.lit(1 << 30)) / float(1 << 30)
+    wanted = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("m") / TILE)).cast("int")
+    low = members.where((place <= wanted * 32 / F.col("m")) | (F.col("m") <= 64))
+    order = Window.partitionBy(*KEYS).orderBy(place, "cls")
+    some = low.withColumn("pivot", F.row_number().over(order)).where(F.col("pivot") <= wanted).select(*KEYS, "pivot", "vec", "m")
+    far = members.groupBy(*KEYS).agg(F.max_by("vec", F.struct("far", "cls")).alias("vec"), F.first("m").alias("m")).select(*KEYS, F.lit(0).alias("pivot"), "vec", "m")
+    pivots = scratch.table(some.unionByName(far) if number else far, "pivots")
+    salts = F.ceil(F.col("m") / (4 * TILE)).cast("int")
+    salted = members.withColumn("salt", F.pmod(F.col("cls"), salts).cast("int")).drop("m", "far")
+    spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
+    schema = f"label {kind}, dim int, node string, cls long, rep long, mult long, vec array<double>, cell int, far double"
+    made = salted.groupBy(*KEYS, "salt").cogroup(spread.groupBy(*KEYS, "salt")).applyInArrow(nearest, schema)
+    return made, pivots.select(*KEYS, F.col("pivot").alias("cell"), "vec")
 
 
 def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
@@ -170,48 +196,71 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     usable = usable.withColumn("dim", F.size("vec")).withColumn("cls", F.xxhash64("label", "vec"))
     classes = scratch.table(usable.groupBy("label", "dim", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec")), "classes")
 
-    sizes = scratch.table(classes.groupBy("label", "dim").count(), "sizes")
-    wanted = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(1), F.ceil(F.col("count") / TILE))).cast("int")
-    # pivots: the classes of the smallest hashes, found among few per label by a threshold
-    share = F.col("k") * 32 / F.col("count")
-    sized = classes.join(sizes.withColumn("k", wanted), ["label", "dim"])
-    low = sized.where((F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) <= share) | (F.col("count") <= 64))
-    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("cls", F.lit(5)), "cls")
-    pivots = scratch.table(low.withColumn("pivot", F.row_number().over(order)).where("pivot <= k").select("label", "dim", "pivot", "vec"), "pivots")
-    # a label whose sample came out empty has one cell
-    salts = F.ceil(F.col("count") / (4 * TILE)).cast("int")
-    salted = classes.join(sizes.withColumn("salts", salts).drop("count"), ["label", "dim"]).withColumn("salt", F.expr("cast(pmod(cls, salts) as int)"))
-    spread = pivots.join(sizes.withColumn("salts", salts), ["label", "dim"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("label", "dim", "salt", "pivot", "vec")
-    kind = dict(classes.dtypes)["label"]
-    keys = ["label", "dim", "salt"]
-    schema = f"label {kind}, dim int, cls long, rep long, mult long, vec array<double>, cell int, far double"
-    celled = scratch.table(salted.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(nearest, schema), "cells")
-
-    counts = celled.groupBy("label", "dim", "cell").agg(F.count("*").alias("m"), F.max("far").alias("far")).withColumn("subs", F.ceil(F.col("m") / TILE).cast("int"))
-    heads = counts.join(pivots.withColumnRenamed("pivot", "cell").withColumnRenamed("vec", "centre"), ["label", "dim", "cell"])
-    tiles = scratch.table(heads.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("tile", F.col("cell").cast("long") * (1 << 24) + F.col("sub")), "tiles")
+    reach, kind = float(np.sqrt(2 - 2 * least)), dict(classes.dtypes)["label"]
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, z: s + z * z))
-    dot = F.aggregate(F.zip_with("centre", "centre_j", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot / (norm(F.col("centre")) * norm(F.col("centre_j")))))
-    other = tiles.select("label", "dim", F.col("tile").alias("j"), F.col("far").alias("far_j"), F.col("centre").alias("centre_j"))
-    meet = tiles.withColumnRenamed("tile", "i").join(other, ["label", "dim"]).where("i <= j")
-    reach = float(np.sqrt(2 - 2 * least)) + 1e-6
-    meet = scratch.table(meet.where((F.col("i") == F.col("j")) | (apart <= F.col("far") + F.col("far_j") + reach)).select("label", "dim", "i", "j"), "meet")
-
-    placed = celled.join(counts.select("label", "dim", "cell", "subs"), ["label", "dim", "cell"])
-    placed = placed.withColumn("tile", F.col("cell").cast("long") * (1 << 24) + F.expr("pmod(xxhash64(cls, 3), subs)"))
+    dot = F.aggregate(F.zip_with("centre_i", "centre_j", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot / (norm(F.col("centre_i")) * norm(F.col("centre_j")))))
+    live = classes.select("label", "dim", F.lit("").alias("node"), "cls", "rep", "mult", "vec", F.lit(0.0).alias("far"))
+    leaves, pairs, number = [], None, 0
+    open_ = scratch.table(classes.groupBy("label", "dim").agg(F.count("*").alias("m")).select("label", "dim", F.lit("").alias("node"), "m"), "open")
+    while not open_.isEmpty():
+        made, pivots = split(live, open_, number, kind, scratch)
+        made = scratch.table(made.withColumn("parent", F.col("node")).withColumn("node", F.concat("parent", F.lit("."), F.col("cell").cast("string"))), "nodes")
+        sums = made.groupBy(*KEYS, "parent", "cell").agg(F.count("*").alias("m"), F.sum("mult").alias("mult"), F.min("rep").alias("low"), F.max("far").alias("far"))
+        sums = sums.join(pivots.select("label", "dim", F.col("node").alias("parent"), "cell", F.col("vec").alias("centre")), ["label", "dim", "parent", "cell"]).drop("cell")
+        sums = sums.withColumn("again", (F.col("m") > TILE) & (2 * F.col("far") > reach - SLACK))
+        children = scratch.table(sums if pairs is None else sums.unionByName(done.withColumn("parent", F.col("node"))), "children")  # noqa: F821
+        side = lambda x: children.select("label", "dim", F.col("parent").alias(f"p{x}"), F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("m", "mult", "low", "far", "centre", "again")])  # noqa: E731, B023
+        if pairs is None:
+            pairs = children.select("label", "dim", F.col("parent").alias("pi"), F.col("parent").alias("pj")).distinct()
+        met = pairs.join(side("i"), ["label", "dim", "pi"]).join(side("j"), ["label", "dim", "pj"]).where("pi != pj or i <= j").withColumn("apart", apart)
+        met = scratch.table(met.where((F.col("i") == F.col("j")) | (F.col("apart") <= F.col("far_i") + F.col("far_j") + reach + SLACK)).drop("centre_i", "centre_j"), "pairs")
+        pairs = met.select("label", "dim", F.col("i").alias("pi"), F.col("j").alias("pj"))
+        done = children.where("not again").drop("parent")
+        open_ = scratch.table(children.where("again").select(*KEYS, "m"), "open")
+        again = small_or_not(open_.select(*KEYS))
+        leaves.append(made.join(again, KEYS, "left_anti").select(*KEYS, "cls", "rep", "mult", "vec"))
+        live = made.join(again, KEYS, "left_semi").select(*KEYS, "cls", "rep", "mult", "vec", "far")
+        number += 1
+    if pairs is None:  # no usable vector
+        return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    placed = leaves[0]
+    for more in leaves[1:]:
+        placed = placed.unionByName(more)
+    placed = scratch.table(placed, "placed")
+
+    # node pairs within the threshold distance altogether: everything links with everything
+    sure = F.when(F.col("i") == F.col("j"), 2 * F.col("far_i")).otherwise(F.col("apart") + F.col("far_i") + F.col("far_j")) <= reach - SLACK
+    met = scratch.table(met.withColumn("sure", sure), "met")
+    whole = met.where("sure")
+    ways = whole.select("label", "dim", F.col("i").alias("node"), F.col("m_i").alias("m"), F.col("mult_j").alias("n"), F.col("low_j").alias("hub"), (F.col("i") == F.col("j")).alias("own"))
+    ways = ways.unionByName(whole.where("i != j").select("label", "dim", F.col("j").alias("node"), F.col("m_j").alias("m"), F.col("mult_i").alias("n"), F.col("low_i").alias("hub"), F.lit(False).alias("own")))
+    ways = scratch.table(ways.groupBy(*KEYS).agg(F.max("m").alias("size"), F.sum("n").alias("n"), F.min("hub").alias("hub"), F.max("own").alias("own")), "ways")
+    every = spread_join(placed.drop("vec"), ways, KEYS, "size", classes.count())
+    every = every.select("cls", (F.col("n") - F.when(F.col("own"), F.col("mult")).otherwise(0)).alias("n"), F.col("rep").alias("a"), F.col("hub").alias("b"))
+    every = scratch.table(every, "whole")
+    between = whole.where("i != j").select("low_i", "low_j").toDF("a", "b")
+
+    # the others are compared; a node larger than a tile is tight and is dealt to tiles by hash
+    subs = lambda m: F.ceil(F.col(m) / TILE).cast("int")
+    meet = met.where("not sure").select("label", "dim", "i", "j", F.explode(F.sequence(F.lit(0), subs("m_i") - 1)).alias("si"), "m_j").select("label", "dim", "i", "j", "si", F.explode(F.sequence(F.lit(0), subs("m_j") - 1)).alias("sj"))
+    meet = scratch.table(meet.select("label", "dim", F.concat_ws("#", "i", "si").alias("i"), F.concat_ws("#", "j", "sj").alias("j")), "meet")
+    tiled = done.select(*KEYS, subs("m").alias("subs"), F.col("m").alias("size"))
+    tiled = spread_join(placed, scratch.table(tiled, "tiled"), KEYS, "size", classes.count()).withColumn("tile", F.concat_ws("#", "node", F.pmod(F.xxhash64("cls", F.lit(3)), "subs")))
     cols = ["label", "dim", "i", "j", "cls", "rep", "mult", "vec"]
-    first = placed.withColumnRenamed("tile", "i").join(meet, ["label", "dim", "i"]).select(*cols, F.lit(True).alias("left"))
-    second = placed.withColumnRenamed("tile", "j").join(meet.where("i < j"), ["label", "dim", "j"]).select(*cols, F.lit(False).alias("left"))
+    first = tiled.withColumnRenamed("tile", "i").join(meet, ["label", "dim", "i"]).select(*cols, F.lit(True).alias("left"))
+    second = tiled.withColumnRenamed("tile", "j").join(meet.where("i != j"), ["label", "dim", "j"]).select(*cols, F.lit(False).alias("left"))
     found = first.unionByName(second).groupBy("label", "dim", "i", "j").applyInArrow(join_tiles(least), "cls long, n long, a long, b long")
     found = scratch.table(found, "found")
+    found = found.unionByName(every.select("cls", "n", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b")))
+    joined = every.where("n > 0").select("a", "b").union(between)
 
     links = found.where("a is null").groupBy("cls").agg(F.sum("n").alias("n"))
     member = usable.select("id", "cls", "label", "dim").join(classes.select("label", "dim", "cls", "rep", "mult"), ["label", "dim", "cls"]).select("id", "cls", "rep", "mult")
     member = scratch.table(member, "member")
     least_rep = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
     tied = member.join(least_rep, "id").select("a", F.col("rep").alias("b")).where("a < b")
-    comp = components(found.where("a is not null").select("a", "b").union(tied), scratch)
+    comp = components(found.where("a is not null").select("a", "b").union(joined).union(tied), scratch)
     of_id = member.select("id", "rep").distinct().join(comp.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     of_class = member.select("cls", "mult").distinct().join(links, "cls", "left").select("cls", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = base.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda v: v != 0), F.lit(False)))

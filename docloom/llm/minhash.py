@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, components, small_or_not
+from .runtime import Scratch, components, small_or_not, spread_join
 from .words import U, Block, blocks, mix
 
 SMALL_BUCKET = 32
@@ -258,11 +258,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width_bytes = 4 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width_bytes + 1, F.lit(width_bytes))))
     rows_ = sigs.select("id", F.explode(keys).alias("key"))
-    shared = scratch.table(rows_.join(rows_.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "shared")
+    rows_ = scratch.table(rows_, "bands")
+    total = rows_.count()
+    sized = scratch.table(rows_.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sized")
+    shared = scratch.table(spread_join(rows_, sized, ["key"], "m", total), "shared")
     # the member whose buckets are the largest is nearest to the middle of its group
     fame = shared.groupBy("id").agg(F.sum("m").alias("fame"))
-    heads = shared.join(fame, "id").groupBy("key").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("head"))
-    buckets = scratch.table(shared.join(heads, "key"), "buckets")
+    heads = scratch.table(shared.join(fame, "id").groupBy("key").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("head"), F.max("m").alias("size")), "heads")
+    buckets = scratch.table(spread_join(shared, heads, ["key"], "size", total).drop("size"), "buckets")
+    scratch.free(rows_, sized, shared, heads)
 
     def check(pairs: DataFrame) -> DataFrame:
         a, b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
@@ -286,14 +290,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets of three or more that still hold several components
     open_ = buckets.where("m > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "m", "head", "id", F.coalesce("component", "id").alias("comp"))
-    spread = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    open_ = scratch.table(open_.join(spread, "key"), "open")
+    open_ = scratch.table(open_, "members")
+    spread = scratch.table(open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size"), "spread")
+    open_ = scratch.table(spread_join(open_, spread, ["key"], "size", total).drop("size"), "open")
     mine, other = open_.where(f"m <= {SMALL_BUCKET}"), open_.where(f"m <= {SMALL_BUCKET}").select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     few = mine.where("id != head").join(other, "key").where("id < b and comp != comp_b").select(F.col("id").alias("a"), "b").distinct()
 
     large = open_.where(f"m > {SMALL_BUCKET}")
     main = large.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    parts = large.join(main, "key").withColumn("nb", F.ceil(F.col("all") / BLOCK_ROWS).cast("int")).withColumn("np", F.ceil((F.col("all") - F.col("most")) / BLOCK_ROWS).cast("int"))
+    parts = spread_join(large, scratch.table(main, "main"), ["key"], "all", total).withColumn("nb", F.ceil(F.col("all") / BLOCK_ROWS).cast("int")).withColumn("np", F.ceil((F.col("all") - F.col("most")) / BLOCK_ROWS).cast("int"))
     wanted = small_or_not(scratch.table(large.select("id").distinct(), "wanted"))
     sets = scratch.table(docs.join(wanted, "id").mapInArrow(set_of(width), "id long, set binary"), "sets")
     parts = parts.join(sigs, "id").join(sets, "id")

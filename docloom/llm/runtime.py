@@ -68,27 +68,46 @@ def small_or_not(keys: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+HOT = 20_000
+
+
+def spread_join(left: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``left`` with the columns of ``keys``, a written table with one row a key.
+
+    ``n`` is the number of rows of ``left`` that a key has, of ``total``.  Keys of more than a
+    HOT-th of all rows, of which there are at most HOT, are broadcast; the rest are shuffled, and
+    none of them is large.
+    """
+    most = max(1000, total // HOT)
+    hot, cold = F.broadcast(keys.where(F.col(n) > most)), keys.where(F.col(n) <= most)
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph: (node, component).
 
     ``edges`` has columns a, b.  Alternates large-star and small-star steps (Kiveris et al.,
     2014) until nothing changes; each round is two aggregations by node with partial sums on
-    the map side, and is written to the shared folder.  Only a count comes to the driver.
+    the map side, and is written to the shared folder.  Nodes with very many neighbours are
+    looked up in a broadcast list.  Only counts come to the driver.
     """
     a, b = F.col("a"), F.col("b")
+    count = lambda t: t.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     now = scratch.table(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    was = count(now)
     for _ in range(rounds):
         # large star: every larger neighbour of a node links to the node's smallest neighbour
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
+        low = scratch.table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "a")), "low")
+        large = spread_join(both, low, ["a"], "n", 2 * was["n"]).where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
+        large = scratch.table(large, "large")
         # small star: a node and its smaller neighbours link to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(a != b).distinct()
+        lower = scratch.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = spread_join(large, lower, ["a"], "n", was["n"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(a != b).distinct()
         after = scratch.table(small, "edges")
-        x, y = (t.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first() for t in (now, after))
-        now = after
-        if x == y:
+        scratch.free(now, low, large, lower)
+        now, then, was = after, was, count(after)
+        if then == was:
             break
     else:
         raise RuntimeError("components did not settle")

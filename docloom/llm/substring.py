@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import SMALL_ROWS, Scratch, delete, small_or_not
+from .runtime import SMALL_ROWS, Scratch, delete, small_or_not, spread_join
 from .words import U, Block, blocks, mix, powers, runs
 
 def whole_prints(block: Block, hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -130,7 +130,6 @@ def to_spans(width: int):
     return run
 
 
-HOT = 20_000  # windows in more than a HOT-th of all rows are common; there are at most HOT of them
 RUNS = {"postings": ("h long, id long, part int, batch int", ["h"]), "whole": ("doc_a long, doc_b long", ["doc_a", "doc_b"])}
 
 
@@ -265,11 +264,7 @@ class FingerprintIndex:
             windows = windows.union(self._fetch(self.fetched).mapInArrow(verifier(self.width, bits, size, False), schema))
         windows = table(windows, "windows")
         owner = table(windows.groupBy("a", "b").agg(F.min(F.struct("fresh", "id")).alias("owner"), F.count("*").alias("n")).where("n > 1"), "owner")
-        # a common window is looked up in a broadcast list of at most HOT, so no task gathers it
-        most = max(1000, windows.count() // HOT)
-        hot, cold = F.broadcast(owner.where(F.col("n") > most).drop("n")), owner.where(F.col("n") <= most).drop("n")
-        mine = windows.where("fresh")
-        hit = mine.join(hot, ["a", "b"]).unionByName(mine.join(hot.select("a", "b"), ["a", "b"], "left_anti").join(cold, ["a", "b"])).where("not owner.fresh or owner.id < id")
+        hit = spread_join(windows.where("fresh"), owner, ["a", "b"], "n", windows.count()).where("not owner.fresh or owner.id < id")
         spans = hit.groupBy("id", "tag").agg(F.collect_list("pos").alias("pos")).mapInArrow(to_spans(self.width), "id long, tag int, lo array<int>, hi array<int>")
         spans = table(spans, "spans").union(entire)
         self.scratch.free(windows, owner, counted, shared, touched)

@@ -185,7 +185,9 @@ def test_an_index_is_kept_and_reads_only_matched_history(spark, tmp_path):
 
 
 def test_a_common_window_is_spread(spark, monkeypatch):
-    monkeypatch.setattr(substring, "HOT", 5)
+    from docloom.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT", 5)
     line = " ".join(["same"] * 60)
     rows = [(i, f"{line} {i} end") for i in range(400)]
     got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -350,6 +350,22 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, tile):
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, n[i], group[i], group[i] == i) for i, *_ in rows}
 
 
+def test_a_tight_group_and_levels_of_nodes_match_brute_force(spark, monkeypatch):
+    """Many levels, nodes that link as a whole, scaled copies of one direction, clashing columns."""
+    monkeypatch.setattr(covertree, "TILE", 8)
+    monkeypatch.setattr(covertree, "PIVOTS", 4)
+    rng = np.random.default_rng(12)
+    line = [[math.cos(x), math.sin(x), 0.0] for x in np.linspace(0, 3, 120)]  # a chain through all of a half circle
+    tight = [(np.array([0.0, 0.0, 1.0]) + rng.normal(size=3) * 0.003).tolist() for _ in range(90)]
+    same = [[0.0, float(-k), 1e-9] for k in range(1, 40)]
+    vectors = line + tight + same + rng.normal(size=(60, 3)).tolist()
+    rows = [(i, v, 1) for i, v in enumerate(vectors)]
+    n, group = brute_links(rows)
+    data = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<float>, label int, n_links string, node string")
+    got = covertree.near_embeddings(data).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], group[i]) for i, *_ in rows}
+
+
 def test_embeddings_of_odd_rows(spark):
     v = [1.0, 2.0]
     got = covertree.near_embeddings(spark.createDataFrame([(1, v, 0), (None, v, 0), (2, v, 0), (2, [-2.0, 1.0], 0), (3, [-2.0, 1.0], 0)], "vec_id long, embedding array<float>, label int")).collect()
