@@ -46,7 +46,7 @@ from .words import U, blocks, mix
 
 END = 0x5EED0E9D  # the fingerprint that stands for the end of a text
 EXACT = 64
-FLUSH = 2_000_000  # tokens that a task packs at once
+FLUSH = 1_000_000  # tokens that a task packs at once
 DISCOUNTS = np.arange(1, 20) / 20
 STRENGTHS = np.array([0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 1000.0])
 
@@ -145,8 +145,9 @@ def seat_small(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator)
     cut = np.searchsorted(c[order], np.arange(2, EXACT + 2))
     loga = np.log(np.maximum(a, 1e-300))
     for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True), 2):
-        for lo in range(x, y, 200_000):
-            at = order[lo : min(y, lo + 200_000)]
+        step = max(1, 1_000_000 // k)
+        for lo in range(x, y, step):
+            at = order[lo : min(y, lo + step)]
             w = table[k, 1 : k + 1][None] + np.arange(1, k + 1)[None] * loga[at][:, None]
             w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
             out[at] = 1 + (w < rng.random(len(at))[:, None] * w[:, -1:]).sum(1)
@@ -524,7 +525,7 @@ def scorer(lexicon, model, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, rest: int = 2, frequent: int = 1 << 19, burn: int = 3, keep: int = 3, bucket_tokens: int = 3_000_000, fixed: tuple[float, float] | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, rest: int = 2, frequent: int = 1 << 19, burn: int = 3, keep: int = 3, bucket_tokens: int = 1_500_000, fixed: tuple[float, float] | None = None) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Trains on rows whose crc32(id as text) modulo ``modulus`` is not ``rest`` (null ids train)
