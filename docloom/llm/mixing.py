@@ -23,8 +23,7 @@ WHITE = " \\t\\n\\x0B\\f\\r"
 
 def token_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; a null text has none."""
-    framed = F.split(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), f"[{WHITE}]+")
-    return (F.size(framed) - 2).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{WHITE}]++")).cast("long")
 
 
 def topic_of(text: Column) -> Column:
@@ -48,7 +47,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
 
     A marginal value without a target goes to weight 0.  Ends when every marginal is within
     ``close`` of its target, or after ``rounds``; after ``every`` of them the weights are
-    written to the shared folder.  Windows hold cells, which are pre-aggregated: a partition
+    written to the shared folder.  ``off`` is the largest distance left between a marginal and its
+    target: targets that no weights can meet (as of a value whose cells are all empty) leave it
+    above ``close``.  Windows hold cells, which are pre-aggregated: a partition
     has at most as many rows as there are combinations of the other marginals.
     """
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -62,9 +63,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
                 now = now.withColumn("weight", F.when(have[by] > 0, F.col("weight") * F.col(f"target_{by}") / have[by]).otherwise(0.0))
         now = scratch.table(now, "raked")
         off = now.select(F.greatest(*[F.abs(have[by] - F.col(f"target_{by}")) for by in targets]).alias("off"))
-        if (off.agg(F.max("off")).first()[0] or 0.0) < close:
+        far = off.agg(F.max("off")).first()[0] or 0.0
+        if far < close:
             break
-    return now.drop(*[f"target_{by}" for by in targets])
+    return now.drop(*[f"target_{by}" for by in targets]).withColumn("off", F.lit(far))
 
 
 def calibrate(cells: DataFrame, budget: Column, steps: int = 4, points: int = 64) -> float:
@@ -87,31 +89,53 @@ def calibrate(cells: DataFrame, budget: Column, steps: int = 4, points: int = 64
     return (lo + hi) / 2
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.6, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with topic, n_tokens, weight, probability and sampled.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.6, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Column | None = None, with_text: bool = True) -> DataFrame:
+    """``docs`` with topic, n_tokens, weight, probability, sampled and off.
 
     ``weight`` is the raked share of the row's cell divided by its share of tokens.  ``sampled``
     takes a row with its ``probability``, so that ``share`` of all tokens are expected.
-    Targets not given are the tempered shares of tokens (``power``).
+    Targets not given are the tempered shares of tokens (``power``).  ``off`` is the largest
+    distance that raking left between a marginal and its target.  ``topic`` is an expression over
+    the columns of ``docs`` (a topic that the data has); the default looks for literal marks.
+    ``with_text=False`` leaves the text out of the result, which is then read once.
 
     Null sources and languages are values of their own.  Null and empty texts have no tokens;
     a cell without tokens has weight 0 and probability 0.  Rows that repeat an id are taken
     or left together.  Result columns replace input columns of their names.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    made = ["topic", "n_tokens", "weight", "probability", "sampled"]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in made]).alias("rest"), F.col(text_col).alias("_t"))
-    base = base.select("rest", *[(F.coalesce(F.concat(F.lit("="), F.col(f"rest.{c}").cast("string")), F.lit("null")) if c != "topic" else F.coalesce(topic_of(F.col("_t")), F.lit("prose"))).alias(f"_{c}") for c in MARGINS], token_count(F.col("_t")).alias("_n"))
+    made = ["topic", "n_tokens", "weight", "probability", "sampled", "off"]
+    kept = [c for c in docs.columns if c not in made and (with_text or c != text_col)]
+    about = F.coalesce((topic_of(F.col(text_col)) if topic is None else topic).cast("string"), F.lit("prose"))
+    kind = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"), kind("source").alias("_source"), kind("lang").alias("_lang"), about.alias("_topic"), token_count(F.col(text_col)).alias("_n"))
+    if not with_text:
+        base = scratch.table(base, "counted")
     cells = scratch.table(base.groupBy(*[F.col(f"_{c}").alias(c) for c in MARGINS]).agg(F.sum("_n").alias("tokens"), F.count("*").alias("rows")), "cells")
     goal = {c: (targets or {}).get(c) or tempered(cells, c, power) for c in MARGINS}
     raked = rake(cells, goal, scratch)
     all_ = raked.agg(F.sum("tokens").alias("n"), F.sum("weight").alias("w")).first()
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.lit(all_["w"] or 1.0) / (F.col("tokens") / F.lit(float(all_["n"] or 1)))).otherwise(0.0)
-    factors = scratch.table(raked.select(*[F.col(c).alias(f"_{c}") for c in MARGINS], "tokens", factor.alias("factor")), "factors")
+    factors = scratch.table(raked.select(*[F.col(c).alias(f"_{c}") for c in MARGINS], "tokens", factor.alias("factor"), "off"), "factors")
     q = calibrate(factors, F.sum("tokens") * share)
     few = factors.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS
     slim = factors.drop("tokens")
     out = base.join(F.broadcast(slim) if few else slim, [f"_{c}" for c in MARGINS])
     chance = F.least(F.lit(1.0), F.col("factor") * F.lit(q))
     point = F.pmod(F.xxhash64(F.col(f"rest.{id_col}"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return out.select(*[F.col(f"rest.`{c}`") for c in docs.columns if c not in made], F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("factor").alias("weight"), chance.alias("probability"), (point < chance).alias("sampled"))
+    return out.select(*[F.col(f"rest.`{c}`") for c in kept], F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("factor").alias("weight"), chance.alias("probability"), (point < chance).alias("sampled"), "off")
+
+
+def achieved(mixed: DataFrame) -> DataFrame:
+    """(margin, value, before, expected, sampled) of a result of ``mix``: shares of tokens.
+
+    A probability is cut at one, so what is expected can stay below a target that is far above
+    what there is; this table tells by how much.
+    """
+    n = F.col("n_tokens")
+    each = mixed.select("source", "lang", "topic", n.alias("n"), (n * F.col("probability")).alias("e"), F.when(F.col("sampled"), n).otherwise(0).alias("s"))
+    sums = each.groupBy(*MARGINS).agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("s").alias("s"))
+    long_ = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("margin"), F.col(c).cast("string").alias("value")) for c in MARGINS])).alias("m"), "n", "e", "s")
+    by = long_.groupBy("m").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("s").alias("s"))
+    of = Window.partitionBy("m.margin")  # the values of a marginal, summed before
+    return by.select("m.margin", "m.value", *[F.try_divide(c, F.sum(c).over(of)).alias(name) for c, name in (("n", "before"), ("e", "expected"), ("s", "sampled"))])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import Scratch
+from .runtime import Scratch, small_or_not
 from .words import SPACE, U, Block, blocks, mix
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_punct"]
@@ -210,19 +210,22 @@ def base_failed(min_words: int = 20, repeat_percent: int = 30) -> Column:
     return (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > repeat_percent * F.col("_n_words"))
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = 20_000, **how) -> list[Rule]:
-    """Rules from the labelled rows (columns id, quality; 0 is bad) that pass the base rules.
+def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, **how) -> list[Rule]:
+    """Rules from the labelled documents (label columns id, quality; 0 is bad) that pass the base rules.
 
-    At most ``sample`` labelled rows come to the driver, as numbers.
+    Labelled ids are sampled by hash before any text is read, so only about ``2 * sample`` texts
+    are, and at most ``sample`` of them come to the driver, as numbers.
     """
-    known = labels.where("quality is not null").select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("_q"))
-    rows = stats.where(~base_failed()).withColumn("_id", F.col(f"rest.{id_col}").cast("long")).join(known, "_id")
-    # hashes too high to be among the lowest are left out first, or every task would send a whole sample
-    n, place = rows.count(), F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    known = labels.where("quality is not null").select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where("_id is not null").distinct()
+    known = Scratch(docs.sparkSession, "labels").table(known, "known")
+    n = known.count()
     if n > 2 * sample:
-        rows = rows.where(place < int((1 << 30) * 1.5 * sample / n))
-    picked = rows.select("_id", "_q", *[c.alias(n) for n, c in features().items()]).orderBy(place, "_id", "_q", *features()).limit(sample).toPandas()
-    x = {n: picked[n].to_numpy(float) for n in features()}
+        known = known.where(place < int((1 << 30) * 2 * sample / n))
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(small_or_not(known), "_id")
+    rows = with_statistics(slim, "text").where(~base_failed()).select(F.col("rest._id").alias("_id"), F.col("rest._q").alias("_q"), *[c.alias(k) for k, c in features().items()])
+    picked = rows.orderBy(place, "_id", "_q", *features()).limit(sample).toPandas()
+    x = {k: picked[k].to_numpy(float) for k in features()}
     return learn(x, picked["_q"].to_numpy() == 0, **how)
 
 
@@ -238,21 +241,15 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule.
 
     Null and empty texts have no words and fail the base rules.  Repeated rows are judged
-    alike; labels that contradict each other all count.  Without labels only the base rules
-    hold.  Labels of unknown documents and null labels are left out.
+    alike; of labels that contradict each other each counts once.  Without labels only the base
+    rules hold.  Labels of unknown documents and null labels are left out.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    slim = docs.select(F.col(id_col), F.col(text_col))
-    stats = scratch.table(with_statistics(slim, text_col).drop("text"), "stats")
-    rules = learn_from(stats, labels, id_col, **how)
-    out = stats.withColumn("rule", verdict(rules))
+    rules = learn_from(docs, labels, id_col, text_col, **how)
+    out = with_statistics(docs.select(F.col(id_col), F.col(text_col)), text_col).drop("text").withColumn("rule", verdict(rules))
     return out.select(F.col(f"rest.{id_col}").alias(id_col), *[F.col(f"_{c}").alias(c) for c in STATS[:5]], base_failed().alias("base_failed"), F.col("rule").isNull().alias("kept"), "rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns as they were."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.table(with_statistics(docs.select(F.col(id_col), F.col(text_col)), text_col).drop("text"), "stats")
-    rules = learn_from(stats, labels, id_col, **how)
-    kept = with_statistics(docs, text_col).where(verdict(rules).isNull())
+    kept = with_statistics(docs, text_col).where(verdict(learn_from(docs, labels, id_col, text_col, **how)).isNull())
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])

@@ -28,12 +28,17 @@ class Scratch:
     """Intermediate Parquet tables of one operator call, in the shared folder.
 
     A written table cuts the lineage: losing an executor later rereads files, it does not
-    repeat the work.  ``free`` deletes a table that nothing lazy refers to any more.
+    repeat the work.  ``free`` deletes a table that nothing lazy refers to any more.  What an
+    operator returns reads such tables, so they stay until the caller has written its result and
+    calls ``clear``.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        Scratch.made.append(self)
 
     def folder(self, name: str) -> str:
         self.n += 1
@@ -51,6 +56,13 @@ class Scratch:
             delete(self.spark, df._docloom_path)
 
 
+def clear(since: int = 0) -> None:
+    """Deletes the folders of all operator calls of this process, or of those after ``since`` of them."""
+    for s in Scratch.made[since:]:
+        delete(s.spark, s.path)
+    del Scratch.made[since:]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any store that Spark writes to."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
