@@ -89,8 +89,8 @@ def calibrate(cells: DataFrame, budget: Column, steps: int = 4, points: int = 64
     return (lo + hi) / 2
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.6, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Column | None = None, with_text: bool = True) -> DataFrame:
-    """``docs`` with topic, n_tokens, weight, probability, sampled and off.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.6, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Column | None = None, with_text: bool = True, with_off: bool = False) -> DataFrame:
+    """``docs`` with topic, n_tokens, weight, probability and sampled, and with ``off`` if asked.
 
     ``weight`` is the raked share of the row's cell divided by its share of tokens.  ``sampled``
     takes a row with its ``probability``, so that ``share`` of all tokens are expected.
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     or left together.  Result columns replace input columns of their names.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    made = ["topic", "n_tokens", "weight", "probability", "sampled", "off"]
+    made = ["topic", "n_tokens", "weight", "probability", "sampled", *(["off"] if with_off else [])]
     kept = [c for c in docs.columns if c not in made and (with_text or c != text_col)]
     about = F.coalesce((topic_of(F.col(text_col)) if topic is None else topic).cast("string"), F.lit("prose"))
     kind = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     out = base.join(F.broadcast(slim) if few else slim, [f"_{c}" for c in MARGINS])
     chance = F.least(F.lit(1.0), F.col("factor") * F.lit(q))
     point = F.pmod(F.xxhash64(F.col(f"rest.{id_col}"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return out.select(*[F.col(f"rest.`{c}`") for c in kept], F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("factor").alias("weight"), chance.alias("probability"), (point < chance).alias("sampled"), "off")
+    return out.select(*[F.col(f"rest.`{c}`") for c in kept], F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("factor").alias("weight"), chance.alias("probability"), (point < chance).alias("sampled"), *(["off"] if with_off else []))
 
 
 def achieved(mixed: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled", "off")
+    return mix(read(spark, sf_dir, "documents"), with_text=False, with_off=True).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled", "off")
 
 
 @query("op8_language_mixture")

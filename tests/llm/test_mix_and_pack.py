@@ -168,3 +168,74 @@ def test_repeated_ids_are_spread_over_shards(spark):
     assert len(got) == 20
     assert max(r.n for r in got) < 1.3 * 42_000
     assert sum(r.n for r in got) == 40_000 * 21
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, n_words int, topic string, weight double, kept boolean, row string, id long, bin_id string"
+
+
+def odd_documents(seed: int) -> list[tuple]:
+    rng = random.Random(seed)
+    prose = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    texts = [prose(120) for _ in range(12)]
+    texts[5] = texts[4]
+    texts[7] = texts[6] + " more"
+    passage = prose(70)
+    texts[8], texts[9] = f"{texts[8]} {passage}", f"{passage} {texts[9]}"
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, prose(90)), (None, texts[0]), (None, None), (20, None), (21, ""), (22, " \n"), (23, prose(30_000)), (4, prose(100))]
+    return [(i, t, rng.choice(["en", None]), rng.choice(["a", None]), len(t or ""), 1, "t", 0.5, False, "r", 9, None) for i, t in rows]
+
+
+@pytest.mark.parametrize("rows", [odd_documents(1), []])
+def test_every_stage_takes_odd_rows(spark, tmp_path, rows):
+    """Nulls, empty and long texts, repeated rows and ids, an empty table, clashing columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 0, 1), (2, None, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, CLASH)
+    got = {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert name == "packing" or out.dtypes == docs.dtypes
+        got[name] = out.collect()
+        if not rows:
+            assert got[name] == []
+        elif name != "packing":
+            assert {(r.n_words, r.topic, r.weight, r.row, r.id) for r in got[name]} == {(1, "t", 0.5, "r", 9)}
+    if rows:
+        ids = lambda name: sorted((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in got[name])
+        size = {(i, len(t or "")) for i, t, *_ in rows}
+        assert {(r.doc_id, len(r.text or "")) for r in got["quality_rules"]} == {(i, n) for i, n in size if n > 20}
+        # 5 copies a text of 4, 7 is near 6; id 3 keeps one of two equal rows and its other text, id 4 both texts
+        near = ids("near_dedup")
+        assert len(near) == len(rows) - 3 and (False, 7, len(rows[7][1])) not in near
+        assert sum(1 for n in near if n[1] == 3) == 2 and sum(1 for n in near if n[1] in (4, 5)) == 2
+        cut = {r.doc_id: r.n_chars for r in got["substring_dedup"]}
+        assert cut[9] < rows[9][4] and cut[8] == rows[8][4]
+        assert sum(r.length for r in got["packing"]) == sum(len((t or "").split()) + 1 for _, t, *_ in rows)
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    rows = [(i, "w " * 10, "en", "a" if i % 2 else "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goal = {"lang": spark.createDataFrame([("=en", 0.5), ("=de", 0.5)], "lang string, target double")}
+    assert mixing.mix(docs, targets=goal, with_off=True).first().off > 0.1
+    fine = mixing.mix(docs, share=1.0, with_text=False, with_off=True)
+    assert "text" not in fine.columns and fine.first().off < 1e-6
+    assert {(r.margin, r.value): round(r.expected, 6) for r in mixing.achieved(fine).collect()} == {("source", "a"): 0.5, ("source", "b"): 0.5, ("lang", "en"): 1.0, ("topic", "prose"): 1.0}
+    given = mixing.mix(docs, topic=F.col("source")).select("topic").distinct().collect()
+    assert {r.topic for r in given} == {"a", "b"}
+
+
+def test_raking_matches_plain_iteration(spark):
+    """Weights against iterative proportional fitting of a table in numpy."""
+    rng = np.random.default_rng(1)
+    seed = rng.integers(1, 50, (3, 2, 2)).astype(float)
+    goals = [rng.dirichlet(np.ones(n)) for n in seed.shape]
+    want = seed.copy()
+    for _ in range(400):
+        for axis, goal in enumerate(goals):
+            rest = tuple(k for k in range(3) if k != axis)
+            want *= (goal / want.sum(rest)).reshape([-1 if k == axis else 1 for k in range(3)])
+    cells = spark.createDataFrame([(str(a), str(b), str(c), int(seed[a, b, c])) for a in range(3) for b in range(2) for c in range(2)], "source string, lang string, topic string, tokens long")
+    targets = {by: spark.createDataFrame([(str(i), float(x)) for i, x in enumerate(g)], f"{by} string, target double") for by, g in zip(("source", "lang", "topic"), goals, strict=True)}
+    for r in mixing.rake(cells, targets, Scratch(spark, "test")).collect():
+        assert r.weight == pytest.approx(want[int(r.source), int(r.lang), int(r.topic)], abs=1e-5)
