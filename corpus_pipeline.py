@@ -14,7 +14,7 @@ from docloom.llm.minhash import near_duplicates
 from docloom.llm.mixing import mix
 from docloom.llm.packing import best_fit
 from docloom.llm.quality import keep_good
-from docloom.llm.runtime import Scratch, small_or_not
+from docloom.llm.runtime import Scratch, clear, small_or_not
 from docloom.llm.substring import remove_repeats
 
 
@@ -23,20 +23,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns an operator uses, and all of the input but its text as ``row``, out of the way of others' names."""
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group linked at 0.8 or more on five-word shingles.
 
-    Rows with a null id stay; of rows that repeat a kept id one stays.
+    Rows with a null id stay.  Rows that share an id are told apart by their texts: they stand
+    behind all ids that are not shared, and of rows of equal id and text one stays, chosen by a
+    hash of all its columns.
     """
     scratch = Scratch(spark, "near")
-    judged = scratch.table(near_duplicates(docs, width=5, num=80, den=100, bands=28).select("doc_id", "kept"), "judged")
-    gone = scratch.table(judged.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(small_or_not(gone), "doc_id", "left_anti")
-    again = scratch.table(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not again.isEmpty():
-        again = small_or_not(again)
-        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*docs.columns)
+    shared = small_or_not(scratch.table(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_shared")), "shared"))
+    behind = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    named = apart(docs, "doc_id", "text").join(shared, "doc_id", "left").withColumn("_node", F.when(F.col("_shared"), behind).otherwise(F.col("doc_id").cast("long")))
+    judged = scratch.table(near_duplicates(named.select("_node", "text"), id_col="_node", width=5, num=80, den=100, bands=28).select("_node", "kept"), "judged")
+    left = named.join(small_or_not(scratch.table(judged.where("not kept").select("_node").distinct(), "gone")), "_node", "left_anti")
+    once = left.where("_shared").groupBy("_node").agg(F.min_by(F.struct("row", "text"), F.sha2(F.to_json(F.struct("row", "text")), 256)).alias("one")).select("one.row", "one.text")
+    left = left.where("_shared is null").select("row", "text").unionByName(once)
+    return left.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +51,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document that loses all its words goes.
     """
-    cut = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    text = F.coalesce(F.col("kept_text"), F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    cut = remove_repeats(apart(docs, "doc_id", "text")).where("n_removed = 0 or n_removed < n_words")
+    new = {"text": F.coalesce("kept_text", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by probabilities raked to source, language and topic targets."""
-    return mix(docs).where("sampled").select(*docs.columns)
+    taken = mix(apart(docs, "doc_id", "text", "source", "lang")).where("sampled")
+    return taken.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    docs, scratch, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
+        since = len(Scratch.made)
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        clear(since)  # the stage's own tables, now that its result is written
+        if was is not None:
+            scratch.free(was)
+        was = docs
     return docs
