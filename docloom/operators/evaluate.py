@@ -38,6 +38,19 @@ def auc(rows: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
     return total.select("positives", "negatives", value.alias("auc"))
 
 
+def binary_metrics(rows: DataFrame, label: str, score: str, cut: float = 0.5, least_auc: float = 0.55) -> DataFrame:
+    """One row: precision, recall and f1 of scores of ``cut`` or more, auc, and whether it is above ``least_auc``.
+
+    A ratio without a denominator is 0; an auc of one class is NaN and does not pass.
+    """
+    said, true = F.col(score) >= cut, F.col(label) == 1
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    hit = F.count_if(said & true)
+    one = rows.agg(ratio(hit, F.count_if(said)).alias("precision"), ratio(hit, F.count_if(true)).alias("recall"), ratio(2 * hit, F.count_if(said) + F.count_if(true)).alias("f1"))
+    area = auc(rows, label, score).select("auc", (~F.isnan("auc") & (F.col("auc") > least_auc)).alias("passes"))
+    return one.crossJoin(F.broadcast(area))  # one row each
+
+
 def upper_median(values: Column) -> Column:
     """``sorted[n // 2]`` of an array."""
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)

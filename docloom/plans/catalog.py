@@ -418,6 +418,20 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).alias("chars"), F.md5(text).alias("md5"))
 
 
+@query(
+    "cjk_dominant_mixed",
+    r"""
+    with m as (select doc_id, text || repeat(chr(27861), (length(text) * (doc_id % 3) // 2)::int) as t from documents),
+    n as (select doc_id, length(regexp_replace(t, '[^㐀-䶿一-鿿]', '', 'g')) as han, length(regexp_replace(t, '[^\p{L}]', '', 'g')) as letters from m)
+    select doc_id, coalesce(han::double / nullif(letters, 0), 0) >= 0.3 as cjk from n
+    """,
+)
+def cjk_dominant_mixed(spark, sf_dir):
+    """Documents with none, a third and half of their length in Han characters put behind."""
+    more = F.repeat(F.lit("\u6cd5"), F.expr("cast(length(text) * (doc_id % 3) div 2 as int)"))
+    return table(spark, sf_dir, "documents").select("doc_id", cite.cjk_dominant(F.concat("text", more)).alias("cjk"))
+
+
 @query("cjk_dominant", "select doc_id, false as cjk from documents")
 def cjk_dominant(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", cite.cjk_dominant(F.col("text")).alias("cjk"))
@@ -598,4 +612,6 @@ def scope_match(spark, sf_dir):
     return govern.match_scopes(s, matters)
 
 
+from . import records_catalog  # noqa: E402, F401
+
 __all__ = ["ORACLES", "QUERIES", "RULES", "S"]

@@ -21,6 +21,43 @@ def call_hash(calls: Column) -> Column:
     return F.substring(F.md5(F.array_join(keys, "\n")), 1, 12)
 
 
+SALIENT = ("cmd", "command", "glob", "path", "pattern", "query", "url")
+WHOLE = ("write_file", "str_replace")
+LINES = 200
+
+
+def _json_text(value: Column) -> Column:
+    return F.substring(F.to_json(F.struct(value.alias("v"))), F.lit(6), F.length(F.to_json(F.struct(value.alias("v")))) - 6)
+
+
+def _json_object(entries: Column) -> Column:
+    """Entries of a map by name as a JSON object, a blank behind each comma and colon."""
+    pairs = F.transform(F.array_sort(entries), lambda e: F.concat(_json_text(e["key"]), F.lit(": "), F.when(e["value"].isNull(), "null").otherwise(_json_text(e["value"]))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
+def stable_key(name: Column, args: Column) -> Column:
+    """What makes two calls of a tool the same: ``args`` is a map of strings.
+
+    Reading a file counts by blocks of 200 lines, writing by all arguments; other tools by the
+    arguments that say what is asked for, or by all if there is none.  Byte-exact for ASCII.
+    """
+    number = lambda c: F.expr(f"try_cast({c} as int)") if isinstance(c, str) else c.try_cast("int")
+    start = F.coalesce(number(F.element_at(args, "start_line")), F.lit(1))
+    end = F.coalesce(number(F.element_at(args, "end_line")), start)
+    block = lambda c: F.floor((F.greatest(c, F.lit(1)) - 1) / LINES).cast("string")
+    lines = F.concat(F.coalesce(F.element_at(args, "path"), F.lit("")), F.lit(":"), block(F.least(start, end)), F.lit("-"), block(F.greatest(start, end)))
+    entries = F.map_entries(args)
+    some = F.filter(entries, lambda e: e["key"].isin(*SALIENT) & e["value"].isNotNull())
+    return F.when(name == "read_file", lines).when(name.isin(*WHOLE) | (F.size(some) == 0), _json_object(entries)).otherwise(_json_object(some))
+
+
+def stable_hash(calls: Column) -> Column:
+    """First 12 digits of the md5 of a turn's calls (name, args map), in any order."""
+    keys = F.array_sort(F.transform(calls, lambda c: F.concat(c["name"], F.lit(":"), stable_key(c["name"], c["args"]))))
+    return F.substring(F.md5(F.concat(F.lit("["), F.array_join(F.transform(keys, _json_text), ", "), F.lit("]"))), 1, 12)
+
+
 def repeated(calls: DataFrame) -> DataFrame:
     """Rows (thread_id, seq, hash) with ``same`` and ``action`` over each thread's last 20 calls.
 
