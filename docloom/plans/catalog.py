@@ -48,8 +48,35 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- identifiers -------------------------------------------------------------------------
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-@query("leak_audit_by_source")
+
+def _hits_sql(name: str, pattern: str, keep: str) -> str:
+    """A recursive table of the leftmost hits of a pattern: doc_id, hit, prev (one character), post."""
+    cut = lambda x: f"regexp_extract({x}, '(?s)^(.*?)({pattern})(.*)$', ['pre', 'hit', 'post'])"
+    return f"""{name}_all(doc_id, hit, prev, post) as (
+        select doc_id, m.hit, right(m.pre, 1), m.post from (select doc_id, {cut("coalesce(text, '')")} as m from documents) where m.hit != ''
+        union all select doc_id, m.hit, right(was || m.pre, 1), m.post from (select doc_id, right(hit, 1) as was, {cut("post")} as m from {name}_all) where m.hit != ''),
+    {name} as (select doc_id, hit from {name}_all where {keep})"""
+
+
+_SOLID = "not regexp_matches(prev, '[0-9A-Za-z]') and not regexp_matches(post, '^[0-9A-Za-z]')"
+_OCTET_SQL = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_CARD_SQL = _hits_sql(
+    "card", "[0-9０-９](?:[ \t－–—　·-]*[0-9０-９]){11,18}", _SOLID + " and regexp_matches(translate(regexp_replace(hit, '[ \t－–—　·-]', '', 'g'), '０１２３４５６７８９', '0123456789'), '^[2-6][0-9]{12,18}$')"
+)
+_IP_SQL = _hits_sql("ip", rf"(?:{_OCTET_SQL}\.){{3}}{_OCTET_SQL}", _SOLID + r" and prev != '.' and not regexp_matches(post, '^\.[0-9]')")
+_EMAIL_SQL = _hits_sql("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "true")
+
+
+@query(
+    "leak_audit_by_source",
+    f"""
+    with recursive {_CARD_SQL}, {_IP_SQL}, {_EMAIL_SQL},
+    h as (select doc_id, 'BANK_CARD' as entity from card union all select doc_id, 'IP' from ip union all select doc_id, 'EMAIL' from email)
+    select source, entity, count(*)::bigint as found, 0::bigint as residual from h join documents using (doc_id) group by 1, 2
+    """,
+)
 def leak_audit(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"))
 
@@ -87,7 +114,7 @@ def detect_email(spark, sf_dir):
     return _found(spark, sf_dir, "EMAIL")
 
 
-@query("detect_card")
+@query("detect_card", f"with recursive {_CARD_SQL} select doc_id, count(*)::bigint as found from card group by 1")
 def detect_card(spark, sf_dir):
     return _found(spark, sf_dir, "BANK_CARD")
 
@@ -407,12 +434,29 @@ def find_lines(spark, sf_dir):
     return cite.find_lines(table(spark, sf_dir, "documents"), "the")
 
 
-@query("find_pages")
+@query(
+    "find_pages",
+    f"""
+    with l as (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null),
+    p as (select doc_id, i + 1 as page, array_to_string(parts[1 + 40 * i : 40 + 40 * i], chr(10)) as t from l, unnest(range((len(parts) + 39) // 40)) as u(i)),
+    s as (select *, string_split(translate(t, '{_UP}', '{_LOW}'), 'license') as pieces from p),
+    h as (select doc_id, page, t, 7 * (k - 1) + list_sum(list_transform(pieces[1:k], lambda x: length(x))) as start from s, unnest(range(1, len(pieces))) as u(k))
+    select doc_id, page::int as page, start::int as start, substring(t, greatest(start - 100, 0)::int + 1, (start + 107 - greatest(start - 100, 0))::int) as context from h
+    """,
+)
 def find_pages(spark, sf_dir):
     return cite.find_pages(table(spark, sf_dir, "documents"), "license")
 
 
-@query("html_strip")
+@query(
+    "html_strip",
+    r"""
+    with a as (select page_id, regexp_replace(regexp_replace(html, '<style>[^<]*</style>', '  ', 'g'), '<script>[^<]*</p>[^<]*</script>', '   ', 'g') as h from pages),
+    b as (select page_id, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '<![^>]*>', ' ', 'g') as h from a),
+    c as (select page_id, regexp_replace(h, '(?s)<(?:[^''">]|"[^"]*"|''[^'']*'')*>', ' ', 'g') as t from b)
+    select page_id, length(t)::int as chars, md5(t) as md5 from c
+    """,
+)
 def html_strip(spark, sf_dir):
     text = extract.html_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).alias("chars"), F.md5(text).alias("md5"))
