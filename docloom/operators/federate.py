@@ -29,14 +29,19 @@ CONNECTORS = {
 def parsed(raw: DataFrame, connector: str, json_col: str = "body", asked: str | None = None) -> DataFrame:
     """Result rows of one connector's responses.
 
-    A response that is no JSON, or has no list, gives none; so does a result without a title.
+    A response that is no JSON, or has no list, gives none; so does a result without a title, and
+    a response that says it had no success.  An item that is a text part with JSON in it (an
+    object or a list of them) stands for what is in the text.
     """
     spec = CONNECTORS[connector]
     items = F.from_json(F.get_json_object(json_col, spec["items"]), "array<string>")
     pick = lambda paths: F.coalesce(*[F.get_json_object("item", p) for p in paths], F.lit(None).cast("string"))
     where = spec["jurisdiction"]
     place = F.get_json_object("item", where) if where.startswith("$") else F.lit(asked if where == "?" else where).cast("string")
-    rows = raw.select(F.posexplode(items).alias("pos", "item"))
+    went_well = F.coalesce(F.get_json_object(json_col, "$.success"), F.lit("true")) != "false"
+    text = lambda x: F.trim(F.get_json_object(x, "$.text"))
+    inner = lambda x: F.when(text(x).startswith("["), F.from_json(text(x), "array<string>")).when(text(x).startswith("{"), F.array(text(x)))
+    rows = raw.where(went_well).select(F.posexplode(F.flatten(F.transform(items, lambda x: F.coalesce(inner(x), F.array(x))))).alias("pos", "item"))
     out = rows.select("pos", *[pick(spec[c]).alias(c) for c in ("title", "citation", "summary", "date")], pick(["$.url", "$.absolute_url", "$.link"]).alias("url"), F.lit(connector).alias("source_name"), F.lit(spec.get("level", "auxiliary_db")).alias("source_level"), place.alias("jurisdiction"), F.col("item").alias("metadata"))
     return out.where("title is not null and title != ''").select(*COLUMNS, "pos")
 
