@@ -69,6 +69,8 @@ class Model:
         table = np.zeros((len(self.names), 1 << BITS))
         code = {x: i for i, x in enumerate(self.names)}
         np.add.at(table, (np.array([code[x] for x in lang], int), counts.column("bucket").to_numpy()), counts.column("n").to_numpy().astype(float))
+        own = table.sum(1)
+        self.prior = own / own.sum() if own.sum() else own
         table += 0.1
         self.p = table / table.sum(1, keepdims=True) if len(self.names) else table
 
@@ -123,7 +125,8 @@ def predictor(model):
                     if not letters[lo + i] or not m.names:
                         best, part, names, w = "und", 0.0, [], []
                     elif not len(own):  # letters, but too few for an n-gram
-                        best, part, names, w = m.names[0], 1 / len(m.names), [], []
+                        k = int(np.argmax(m.prior))
+                        best, part, names, w = m.names[k], float(m.prior[k]), [], []
                     else:
                         live, weight = languages(m, own)
                         k = int(np.argmax(weight))
@@ -158,7 +161,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows whose crc32(id as text) mod 4 is not 2 and whose text and language are
     not null; predicts from the text alone.  ``langs`` is the language set, largest share
     first; ``score`` is the share of the first.  Null texts, and texts without a letter, are
-    ``und`` with score 0 and no set; so is all when nothing was learned.  Ties go to the name
+    ``und`` with score 0 and no set; so is all when nothing was learned.  Texts with letters but
+    no n-gram get the language with most n-grams in training, its share as score and no set.  Ties go to the name
     that sorts first.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out(id_col, 4, 2)), lang_col, text_col))

@@ -258,6 +258,35 @@ def test_language_sets_of_mixed_and_odd_texts(spark):
     assert language.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_language_sets_match_an_exhaustive_search():
+    """Of all sets of four languages, the one found has the best penalised likelihood or nearly so."""
+    import itertools
+
+    import pyarrow as pa
+
+    rng, names, buckets = np.random.default_rng(3), ["a", "b", "c", "d"], 40
+    rows = [(n, k, int(c)) for n in names for k, c in enumerate(rng.gamma(0.5, 200, buckets)) if c >= 1]
+    model = language.Model(pa.table({"lang": [r[0] for r in rows], "bucket": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64())}))
+    same = 0
+    for trial in range(30):
+        true = rng.choice(4, size=1 + trial % 3, replace=False)
+        share = rng.dirichlet(np.full(len(true), 5.0))
+        p = share @ model.p[true]
+        drawn = rng.choice(len(p), size=600, p=p / p.sum())
+        live, weight = language.languages(model, drawn)
+        n = np.bincount(drawn, minlength=model.p.shape[1])
+        at = np.flatnonzero(n)
+        price, best = 0.5 * np.log(n.sum()), None
+        for size in range(1, 5):
+            for s in itertools.combinations(range(4), size):
+                _, like = language.fit(model.p[list(s)][:, at], n[at].astype(float), np.full(size, 1 / size), rounds=500, close=1e-7)
+                if best is None or like - price * size > best[0]:
+                    best = (like - price * size, s)
+        same += set(live) == set(best[1])
+        assert weight.sum() == pytest.approx(1, abs=1e-6)
+    assert same >= 28
+
+
 def text_statistics(text: str | None) -> tuple[int, ...]:
     text = text or ""
     w = WORD.findall(text)
