@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, records
+from ..operators import drafts, evaluate, records
 from ..streaming import loops
 from .catalog import ORACLES, QUERIES, line_chunks, query
 from .scope import scoped, table
@@ -165,4 +165,60 @@ def distinct_in_order(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(records.distinct_in_order(values, 3, 8), "|").alias("kept"))
 
 
+@query(
+    "accepted_changes",
+    """
+    select doc_id, '<w:p><w:r><w:t>' || source || '</w:t></w:r>' || case when doc_id % 2 = 0 then '<w:r><w:t>new ' || lang || '</w:t></w:r>' else '' end || '</w:p>' as xml from documents
+    """,
+)
+def accepted_changes(spark, sf_dir):
+    """Parts with an insertion in every second and a deletion in every one."""
+    run = lambda c, tag: F.concat(F.lit(f"<w:r><w:{tag}>"), c, F.lit(f"</w:{tag}></w:r>"))
+    added = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<w:ins w:id="1" w:author="a">'), run(F.concat(F.lit("new "), "lang"), "t"), F.lit("</w:ins>"))).otherwise("")
+    gone = F.concat(F.lit('<w:del w:id="2">'), run(F.substring("text", 1, 5), "delText"), F.lit('</w:del><w:del w:id="3"/>'))
+    xml = F.concat(F.lit("<w:p>"), run(F.col("source"), "t"), gone, added, F.lit("</w:p>"))
+    return table(spark, sf_dir, "documents").select("doc_id", drafts.accept_changes(xml).alias("xml"))
+
+
+@query(
+    "legal_numbers",
+    """
+    with o as (select o_orderkey, o_orderkey % 5 as depth, 1 + o_orderkey % 13 as n from orders)
+    select o_orderkey, case depth when 0 then n || '. ' when 1 then (n // 10 + 1) || '.' || n || '  ' when 2 then '(' || chr((96 + n)::int) || ')  '
+        when 3 then '(' || coalesce((['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'])[n], 'xi') || ')  ' else '(' || chr((64 + n)::int) || ')  ' end as number from o
+    """,
+)
+def legal_numbers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", drafts.legal_number(k % 5, 1 + k % 13).alias("number"))
+
+
+@query(
+    "upload_formats",
+    """
+    with n as (select page_id, 'file' || page_id || (['.docx', '.PDF', '.doc', '.zip', '', '.tar.md'])[(page_id % 6 + 1)::int] as name from pages)
+    select page_id, (['docx', 'pdf', null, null, null, 'markdown'])[(page_id % 6 + 1)::int] as format,
+        ([null, null, '.doc is a legacy or unsupported format; save it as docx, xlsx or pptx', '.zip is not read', 'no extension', null])[(page_id % 6 + 1)::int] as refused from n
+    """,
+)
+def upload_formats(spark, sf_dir):
+    p = F.col("page_id")
+    name = F.concat(F.lit("file"), p.cast("string"), F.element_at(F.array(*map(F.lit, [".docx", ".PDF", ".doc", ".zip", "", ".tar.md"])), (p % 6 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", drafts.upload_format(name).alias("f")).select("page_id", "f.format", "f.refused")
+
+
+@query(
+    "text_windows",
+    """
+    with recursive w(doc_id, s, e) as (
+        select doc_id, 0::bigint, length(text)::bigint from documents where length(text) > 0
+        union all select doc_id, case when half = 0 then s else s + (e - s) // 2 end, case when half = 0 then s + (e - s) // 2 else e end from w, (values (0), (1)) as h(half) where e - s > 600)
+    select doc_id, greatest(s - 40, 0)::int as "start", e::int as "end" from w where e - s <= 600
+    """,
+)
+def text_windows(spark, sf_dir):
+    spans = drafts.windows(F.col("text"), 600, 40)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(spans).alias("w")).select("doc_id", "w.start", "w.end")
+
+
 __all__ = ["ORACLES", "QUERIES"]
