@@ -34,6 +34,7 @@ class Rule:
     no digit), ``label`` (for each hit of ``label``, the first hit of ``pattern`` behind it) or
     ``spaced`` (hits of ``pattern`` with separators allowed between characters).
     ``bounded``: no ASCII letter or digit on either side.  ``check`` names a further test.
+    ``needs``: a literal without which a text has no hit and is not searched.
     """
 
     code: str
@@ -44,6 +45,7 @@ class Rule:
     bounded: bool = True
     check: str = ""
     unclaimed: bool = False
+    needs: str = ""
 
 
 _GAP = r"[\s:：|()（）\[\]【】`]*"
@@ -67,21 +69,21 @@ RULES = (
     Rule("TH_JURISTIC", "group", rf"(?:Juristic\s*ID|法人登记号|法人登記號)(?:\s*No\.?)?{_GAP}([0-9]{{13}})", "context"),
     Rule("TH_TAXID", "group", rf"(?:Tax\s*ID|纳税人识别号)(?:\s*No\.?)?{_GAP}([0-9]{{13}})", "context"),
     Rule("TH_TAXID", "group", rf"(?:泰国(?:企业)?(?:纳税人识别号|识别号|税号)|泰国(?:企業)?(?:納稅人識別號|識別號|稅號)){_GAP}([0-9]{{13}})", "context"),
-    Rule("MILITARY_ID", "plain", "军字第[0-9]{6,10}号", "context", bounded=False),
+    Rule("MILITARY_ID", "plain", "军字第[0-9]{6,10}号", "context", bounded=False, needs="军字第"),
     Rule("PASSPORT", "label", "[A-HJ-NP-Z][A-HJ-NP-Z]?[0-9]{7,8}", "context", label=r"护照(?:号码?)?[:：\s]*", unclaimed=True),
     Rule("CN_ID", "spaced", spaced(_D, 17, 17, "[0-9０-９XxＸｘ]"), "", check="resident_id"),
     Rule("USCC", "spaced", spaced(_CODE, 18, 18), "", check="credit_code", unclaimed=True),
     Rule("CN_MOBILE", "spaced", f"(?:[8８]{_S}[6６]{_S})?[1１]{_S}[3-9３-９](?:{_S}{_D}){{9}}", "checksum", unclaimed=True),
     Rule("BANK_CARD", "spaced", spaced(_D, 12, 19), "", check="card", unclaimed=True),
     Rule("LANDLINE", "plain", "0(?:10|2[1-9]|[3-9][0-9]{2})-?[0-9]{7,8}", "pattern"),
-    Rule("IP", "plain", rf"(?:{_OCTET}\.){{3}}{_OCTET}", "pattern", check="no_more_octets"),
-    Rule("EMAIL", "plain", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "pattern", bounded=False),
+    Rule("IP", "plain", rf"(?:{_OCTET}\.){{3}}{_OCTET}", "pattern", check="no_more_octets", needs="."),
+    Rule("EMAIL", "plain", r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "pattern", bounded=False, needs="@"),
     Rule("PASSPORT", "plain", "E[A-HJ-NPZ][0-9]{7}|E[0-9]{8}", "pattern"),
     Rule("HK_MO_PERMIT", "plain", "[HM][0-9]{10}", "pattern"),
     Rule("HK_MO_PERMIT", "label", "(?:HK|M)[0-9]{7}", "context", label=r"(?:(?:香港)?入境许可(?:证)?|(?:澳门)?非本地劳工证|劳工证)[:： \t　]*"),
-    Rule("ADDRESS", "plain", rf"(?:{_HAN}{{2,8}}(?:省|自治区|特别行政区))?(?:{_HAN}{{2,10}}(?:市|自治州)){_HAN_DIGIT}{{0,20}}?(?:{_HAN}{{2,10}}(?:区|县|市))?{_HAN_DIGIT}{{0,24}}?(?:路|街|道|巷|弄|大道){_HAN_DIGIT}{{0,20}}?[0-9]{{1,5}}号", "pattern"),
+    Rule("ADDRESS", "plain", rf"(?:{_HAN}{{2,8}}(?:省|自治区|特别行政区))?(?:{_HAN}{{2,10}}(?:市|自治州)){_HAN_DIGIT}{{0,20}}?(?:{_HAN}{{2,10}}(?:区|县|市))?{_HAN_DIGIT}{{0,24}}?(?:路|街|道|巷|弄|大道){_HAN_DIGIT}{{0,20}}?[0-9]{{1,5}}号", "pattern", needs="号"),
     Rule("HK_MO_PERMIT", "plain", r"(?U)\b[1-9][0-9]{6}\([0-9]\)", "pattern"),
-    Rule("PLATE", "plain", "澳[A-Za-z][0-9]{4}", "pattern"),
+    Rule("PLATE", "plain", "澳[A-Za-z][0-9]{4}", "pattern", needs="澳"),
     Rule("CN_TAX_ID", "label", "[0-9]{10}(?:-[0-9]{3})?", "context", label=r"(?:越南)?(?:MST|Mã\s*số\s*thuế|税号)\s*[:：]?\s*"),
     Rule("CN_TAX_ID", "label", "[0-9]{3}-[0-9]{3}-[0-9]{3}(?:-[0-9]{3})?", "context", label=r"(?:菲律宾)?(?:TIN|Taxpayer\s*Identification\s*Number)\s*[:：]?\s*"),
     Rule("CN_TAX_ID", "label", r"[0-9]{2}\.[0-9]{3}\.[0-9]{3}\.[0-9]-[0-9]{3}\.[0-9]{3}", "context", label=r"(?:印尼)?NPWP\s*[:：]?\s*"),

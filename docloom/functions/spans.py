@@ -99,7 +99,10 @@ def of_rule(text: Column, rule: Rule) -> Column:
         spans = F.filter(spans, lambda s: (_side(text, s["start"] - 1) != ".") & ~F.substring(text, s["end"] + 1, F.lit(2)).rlike(r"^\.[0-9]"))
     made = F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.lit(rule.code).alias("entity"), s["text"], _source(rule, s["text"]).alias("source")))
     kept = F.filter(made, lambda m: m["source"].isNotNull())
-    return F.transform(kept, lambda m: F.struct(m["start"], m["end"], m["entity"], m["text"], F.when(m["source"] == "checksum", 1.0).otherwise(0.9).cast("float").alias("confidence"), m["source"])).cast(MATCH)
+    out = F.transform(kept, lambda m: F.struct(m["start"], m["end"], m["entity"], m["text"], F.when(m["source"] == "checksum", 1.0).otherwise(0.9).cast("float").alias("confidence"), m["source"])).cast(MATCH)
+    if rule.needs:  # a null text stays null, as without this test
+        out = F.when(text.isNull() | text.contains(rule.needs), out).otherwise(F.array().cast(MATCH))
+    return out
 
 
 def _rank(source: Column) -> Column:
@@ -127,8 +130,8 @@ def outside_tokens(text: Column, matches: Column) -> Column:
         bracket = F.concat(F.regexp_extract(before, r"(?s)\[[^\[\]]*$", 0), m["text"], F.regexp_extract(after, r"(?s)^[^\[\]]*\]", 0))
         return m["text"].rlike(f"(?s){whole}") | hexed | bracket.rlike(rf"(?s)^\[(?:{_CODES})_.+\]$")
 
-    # a text without a token's head has nothing to be part of, and is not gone through for each match
-    return F.when(text.rlike(f"(?:{_CODES})_"), F.filter(matches, lambda m: ~inside(m))).otherwise(matches)
+    # a text without a match or a token's head has nothing to be part of, and is not gone through
+    return F.when((F.size(matches) > 0) & text.contains("_") & text.rlike(f"(?:{_CODES})_"), F.filter(matches, lambda m: ~inside(m))).otherwise(matches)
 
 
 def longest_first(matches: Column) -> Column:
