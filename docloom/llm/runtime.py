@@ -100,24 +100,35 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
 
     ``edges`` has columns a, b.  Alternates large-star and small-star steps (Kiveris et al.,
     2014) until nothing changes; each round is two aggregations by node with partial sums on
-    the map side, and is written to the shared folder.  Nodes with very many neighbours are
-    looked up in a broadcast list.  Only counts come to the driver.
+    the map side, and is written to the shared folder.  Beyond SMALL_ROWS edges nodes with very
+    many neighbours are looked up in a broadcast list; below, no task can hold more than those.
+    Only counts come to the driver.
     """
     a, b = F.col("a"), F.col("b")
     count = lambda t: t.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     now = scratch.table(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     was = count(now)
+
+    def lowest(t: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+        """``t`` with the smallest neighbour m of its a, and the table to free."""
+        low = t.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        if n <= SMALL_ROWS:
+            return t.join(low, "a"), None
+        low = scratch.table(low, "low")
+        return spread_join(t, low, ["a"], "n", n), low
+
     for _ in range(rounds):
         # large star: every larger neighbour of a node links to the node's smallest neighbour
         both = now.union(now.select("b", "a"))
-        low = scratch.table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "a")), "low")
-        large = spread_join(both, low, ["a"], "n", 2 * was["n"]).where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
-        large = scratch.table(large, "large")
+        joined, low = lowest(both, 2 * was["n"])
+        least = F.least("m", "a")
+        large = joined.where(b > a).select(b.alias("a"), least.alias("b")).where(a != b).distinct()
+        large = scratch.table(large, "large") if low is not None else large
         # small star: a node and its smaller neighbours link to the smallest of them
-        lower = scratch.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
-        small = spread_join(large, lower, ["a"], "n", was["n"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(a != b).distinct()
+        joined, lower = lowest(large, was["n"])
+        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(a != b).distinct()
         after = scratch.table(small, "edges")
-        scratch.free(now, low, large, lower)
+        scratch.free(now, *[t for t in (low, lower, large if low is not None else None) if t is not None])
         now, then, was = after, was, count(after)
         if then == was:
             break
