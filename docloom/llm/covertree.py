@@ -18,6 +18,8 @@ and as many links as join the components it sees, so nothing grows with the squa
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -193,8 +195,14 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
     finite = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = base.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda v: v != 0))
-    usable = usable.withColumn("dim", F.size("vec")).withColumn("cls", F.xxhash64("label", "vec"))
-    classes = scratch.table(usable.groupBy("label", "dim", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec")), "classes")
+    usable = usable.withColumn("dim", F.size("vec"))
+    equal = usable.groupBy("label", "dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
+    for salt in count():  # until no two classes share a number
+        class_of = F.xxhash64("label", "vec", F.lit(salt))
+        classes = scratch.table(equal.select("label", "dim", class_of.alias("cls"), "rep", "mult", "vec"), "classes")
+        if classes.agg(F.count("*") == F.count_distinct("cls")).first()[0]:
+            break
+    usable = usable.withColumn("cls", class_of)
 
     reach, kind = float(np.sqrt(2 - 2 * least)), dict(classes.dtypes)["label"]
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, z: s + z * z))
@@ -264,6 +272,6 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     of_id = member.select("id", "rep").distinct().join(comp.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     of_class = member.select("cls", "mult").distinct().join(links, "cls", "left").select("cls", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = base.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda v: v != 0), F.lit(False)))
-    out = out.select("id", F.when(F.col("ok"), F.xxhash64("label", "vec")).alias("cls")).join(of_class, "cls", "left").join(of_id, "id", "left")
+    out = out.select("id", F.when(F.col("ok"), class_of).alias("cls")).join(of_class, "cls", "left").join(of_id, "id", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +33,13 @@ class Scratch:
     A written table cuts the lineage: losing an executor later rereads files, it does not
     repeat the work.  ``free`` deletes a table that nothing lazy refers to any more.  What an
     operator returns reads such tables, so they stay until the caller has written its result and
-    calls ``clear``.
+    calls ``clear``, or leaves the ``cleared`` block that the operator was called in.
     """
 
-    made: list[Scratch] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        Scratch.made.append(self)
+        _made.get().append(self)
 
     def folder(self, name: str) -> str:
         self.n += 1
@@ -56,11 +57,27 @@ class Scratch:
             delete(self.spark, df._docloom_path)
 
 
-def clear(since: int = 0) -> None:
-    """Deletes the folders of all operator calls of this process, or of those after ``since`` of them."""
-    for s in Scratch.made[since:]:
-        delete(s.spark, s.path)
-    del Scratch.made[since:]
+#: The operator calls since the innermost ``cleared`` block of this thread began.
+_made: ContextVar[list[Scratch]] = ContextVar("made", default=[])  # noqa: B039
+
+
+def clear() -> None:
+    """Deletes the folders of the operator calls outside of any ``cleared`` block."""
+    own = _made.get()
+    while own:
+        made = own.pop()
+        delete(made.spark, made.path)
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Deletes, at its end, the folders of the operator calls made within; those of other threads stay."""
+    before = _made.set([])
+    try:
+        yield
+    finally:
+        clear()
+        _made.reset(before)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -40,15 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .runtime import SMALL_ROWS, Scratch, delete, small_or_not, spread_join
-from .words import U, Block, blocks, mix, powers, runs
+from .words import U, Block, blocks, mix, rolled, runs
+
 
 def whole_prints(block: Block, hashes: np.ndarray, seed: int) -> np.ndarray:
     """A fingerprint of the word sequence of each text."""
-    up, down = powers(len(hashes) + 1, 50 + seed)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
     first = block.first
-    return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + U(77)) ^ block.n_words.astype(np.uint64)
+    place = np.arange(len(hashes)) - np.repeat(first[:-1], block.n_words)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)), out=total[1:])
+    return mix(total[first[1:]] - total[first[:-1]] + U(77 + seed)) ^ block.n_words.astype(np.uint64)
 
 
 def anchors(block: Block, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +59,7 @@ def anchors(block: Block, hashes: np.ndarray, width: int) -> tuple[np.ndarray, n
     at = runs(block.first[:-1], np.maximum(block.n_words - (width - 1), 0))
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    n = len(hashes)
-    up, down = powers(n + 1, 60)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=total[1:])
-    low = mix((total[k:] - total[: n + 1 - k]) * down[: n + 1 - k] + U(k))
+    low = rolled(hashes, k, 60)
     size = 1
     while size * 2 <= span:
         low = np.minimum(low[:-size], low[size:])
@@ -355,14 +352,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounds = sorted(set(plain.where("id is not null").approxQuantile("id", parts, 0.01))) if parts else []
     edges = [None, *map(int, bounds), None]
     spans = None
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        part = plain.where("id is not null")
-        part = part.where(F.col("id") > lo) if lo is not None else part
-        part = part.where(F.col("id") <= hi) if hi is not None else part
-        found = index.ingest(part)
-        spans = found if spans is None else spans.union(found)
-    spans = scratch.table(spans.groupBy("id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans")), "ranges")
-    index.close()
+    try:
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            part = plain.where("id is not null")
+            part = part.where(F.col("id") > lo) if lo is not None else part
+            part = part.where(F.col("id") <= hi) if hi is not None else part
+            found = index.ingest(part)
+            spans = found if spans is None else spans.union(found)
+        spans = scratch.table(spans.groupBy("id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans")), "ranges")
+    finally:
+        index.close()
     if path is None:
         delete(docs.sparkSession, index.path)
     size = spans.select(F.sum(1 + F.aggregate("spans", F.lit(0), lambda n, s: n + 1 + F.size(s["lo"])))).first()[0] or 0

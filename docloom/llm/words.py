@@ -6,9 +6,10 @@ scanning code points.  Every function here works on a *block*: consecutive rows
 batch of about ``BLOCK_BYTES`` bytes (one longer row is a block of its own), which bounds the
 memory of a task whatever the batch holds.
 
-Word and window identities are 64-bit fingerprints: a polynomial over random byte values,
-taken from prefix sums, then mixed.  Two different words share one with probability about
-2**-60; stages that must be exact compare two independent ones (``seed``).
+Word and window identities are 64-bit fingerprints.  A word's is the sum of random numbers,
+one for each byte and place in the word, so no two words are alike by construction, however
+regular they are; a window's mixes those of its two halves, without being linear in them.
+Stages that must be exact compare two independent ones (``seed``).
 
 Null texts are empty texts.
 """
@@ -39,33 +40,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+PLACES = 64
+
+
 @lru_cache(maxsize=8)
 def _bytes_table(seed: int, lower: bool) -> np.ndarray:
-    table = np.random.default_rng(1000 + seed).integers(1, 1 << 64, 256, dtype=np.uint64) | U(1)
+    """A random number for each byte in each of the first places of a word, in one row."""
+    table = np.random.default_rng(1000 + seed).integers(0, 1 << 64, (PLACES, 256), dtype=np.uint64)
     if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+        table[:, 65:91] = table[:, 97:123]
+    return table.ravel()
 
-def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """``r**i`` and ``r**-i`` modulo 2**64 for i below n, with an odd r fixed by the seed."""
-    have = _POWERS.get(seed)
-    if have is None or len(have[0]) < n:
-        r = int(np.random.default_rng(2000 + seed).integers(1 << 60, 1 << 63)) * 4 + 3 & (2**64 - 1)
-        size = max(n, BLOCK_BYTES + 1)
 
-        def table(base: int) -> np.ndarray:
-            out = np.full(size, U(base), np.uint64)
-            out[0] = U(1)
-            return np.cumprod(out, dtype=np.uint64)
-
-        have = (table(r), table(pow(r, -1, 2**64)))
-        if size <= 1 << 23:  # a very long text does not stay in memory
-            _POWERS[seed] = have
-    return have[0][:n], have[1][:n]
+def rolled(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """The fingerprint of every run of k neighbours, by doubling; shorter by k - 1 (or empty)."""
+    join = lambda a, b: mix(a * U(0x9E3779B97F4A7C15) + b)
+    x = mix(hashes + U(2 * k + 1000 * seed))
+    size = 1
+    while size * 2 <= k:
+        x = join(x[:-size], x[size:])
+        size *= 2
+    return join(x[: max(0, len(x) - (k - size))], x[k - size :]) if size < k else x
 
 
 class Block:
@@ -106,18 +101,20 @@ class Block:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts), self.n_words)
 
-    def sums(self, seed: int = 0, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.data)
-        up, down = powers(n + 1, seed)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = U(0)
-        np.cumsum(_bytes_table(seed, lower)[self.data] * up[:n], out=total[1:])
-        return total, down
-
     def spans(self, start: np.ndarray, end: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:
         """Fingerprints of byte ranges."""
-        total, down = self.sums(seed, lower)
-        return mix((total[end] - total[start]) * down[start] + U(seed + 1))
+        size = end - start
+        ends = np.cumsum(size)
+        n = int(ends[-1]) if len(ends) else 0
+        place = np.arange(n) - np.repeat(ends - size, size)
+        key = self.data[place + np.repeat(start, size)] + ((place & (PLACES - 1)) << 8)
+        value = _bytes_table(seed, lower)[key]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        return mix(total[ends] - total[ends - size] + size.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(seed + 1))
 
     def hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
         """Fingerprints of words."""
@@ -125,13 +122,8 @@ class Block:
 
     def windows(self, hashes: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, fingerprint) of every run of k words within one text."""
-        n = len(hashes)
-        up, down = powers(n + 1, 50 + seed)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * up[:n], out=total[1:])
-        count = np.maximum(self.n_words - (k - 1), 0)
-        at = runs(self.first[:-1], count)
-        return at, mix((total[at + k] - total[at]) * down[at] + U(k))
+        at = runs(self.first[:-1], np.maximum(self.n_words - (k - 1), 0))
+        return at, rolled(hashes, k, seed)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:

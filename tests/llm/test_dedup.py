@@ -192,3 +192,29 @@ def test_a_common_window_is_spread(spark, monkeypatch):
     rows = [(i, f"{line} {i} end") for i in range(400)]
     got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got} == {i: 60 if i else 0 for i in range(400)}
+
+
+def test_regular_words_stay_apart(spark):
+    """The alternating words of Thue and Morse and their complements, which polynomials confuse."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docloom.llm.words import blocks
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    for seed in (0, 1):
+        (_, _, block), *rest = blocks(pa.array([f"{word} {other} {word[:100]} {other[:100]} {word}"]))
+        assert not rest and len(np.unique(block.hashes(seed))) == 4
+    rows = [(1, " ".join([word] * 50)), (2, " ".join([other] * 50)), (3, " ".join([word] * 50 + ["end"]))]
+    # the same at the level of words: windows of two words in alternation
+    pair = " ".join("left" if c == "a" else "right" for c in word[:64])
+    rows += [(4, pair), (5, " ".join("right" if c == "a" else "left" for c in word[:64]))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = removed(rows, 50)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    assert want[2][1] == 0 and want[3][1] == 50
+    near = minhash.near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert {r.component_id for r in near} == {1, 2}

@@ -211,10 +211,21 @@ def test_discount_and_strength_are_recovered():
 
 
 def test_repeated_texts_score_higher_than_the_base_tells(spark):
-    """A text seen twice in training is told from a shuffled one, which a model of single words cannot."""
+    """A text seen twice in training is told from a shuffled one, which a model of single words cannot.
+
+    The texts have word order to learn: each word is followed by one of three.
+    """
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(400)]
-    rows = [(i, " ".join(rng.choices(vocabulary, k=80))) for i in range(300)]
+    after = {w: rng.sample(vocabulary, 3) for w in vocabulary}
+
+    def walk(n: int) -> str:
+        words = [rng.choice(vocabulary)]
+        while len(words) < n:
+            words.append(rng.choice(after[words[-1]]))
+        return " ".join(words)
+
+    rows = [(i, walk(80)) for i in range(300)]
     train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2]
     rows = [(train[i], t) for i, (_, t) in enumerate(rows)]
     twice = rows[5][1]
