@@ -14,7 +14,7 @@ from docloom.llm.minhash import near_duplicates
 from docloom.llm.mixing import mix
 from docloom.llm.packing import best_fit
 from docloom.llm.quality import keep_good
-from docloom.llm.runtime import Scratch, clear, small_or_not
+from docloom.llm.runtime import Scratch, cleared, small_or_not
 from docloom.llm.substring import remove_repeats
 
 
@@ -78,9 +78,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        since = len(Scratch.made)
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-        clear(since)  # the stage's own tables, now that its result is written
+        with cleared():  # the stage's own tables go once its result is written
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
         if was is not None:
             scratch.free(was)
         was = docs
