@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import TEMPLATES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -169,3 +171,90 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pitmanyor import score
 
     return score(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_quantised_ranking",
+    r"""
+    with t as (select 'd' as side, doc_id as id, text from documents union all select 'q', item_id, text from benchmark),
+    terms as (select side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from t),
+    tf as (select id as doc_id, term, count(*) as tf from terms where side = 'd' group by all),
+    doc as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+    total as (select count(*) as docs, sum(n)::bigint as l from doc),
+    df as (select term, count(*) as df from tf group by term),
+    w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from df, total),
+    asked as (select id as item_id, term, count(*) as times from terms where side = 'q' group by all),
+    s as (
+        select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l))))::bigint as score
+        from asked join w using (term) join tf using (term) join doc using (doc_id), total group by all),
+    r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+    select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rankindex import rank
+
+    return rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_filter_lattice_audit",
+    r"""
+    with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+    w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x != '') as w, min(doc_id) over (partition by t) as first from t),
+    l as (select doc_id, max(quality) as good, max(toxic) as bad from labels group by doc_id),
+    m as (
+        select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > first] as f,
+            coalesce(good, 0) = 1 as good, coalesce(bad, 0) = 1 as bad
+        from w left join l using (doc_id)),
+    x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    o as (select a.x || b.x || c.x || d.x || e.x as o from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s as (select o as filter_order, step, ascii(o[step]) - 64 as i, list_transform(range(1, step), lambda j: ascii(o[j]) - 64) as before from o, range(1, 6) as r(step)),
+    e as (select part, filter_order, step, i, f[i] as fails, len(list_filter(before, lambda j: f[j])) > 0 as gone, len(list_filter(f, lambda y: y)) = 1 as one, good, bad from m, s),
+    a as (
+        select part, filter_order, step::int as step, i, count(*) filter (not fails and not gone) as kept, count(*) filter (fails and not gone) as removed, count(*) filter (fails and gone) as redundant,
+            count(*) filter (fails and one) as unique_fails, count(*) filter (fails and not gone and good) as good_lost, count(*) filter (fails and not gone and bad) as toxic_lost
+        from e group by all)
+    select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, i))::bigint as shapley from a
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import audit
+
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op13_license_diagonals",
+    r"""
+    with t(template, label, body) as (values TEMPLATES),
+    low as (
+        select 1 as kind, template as id, body as text from t
+        union all select 0, doc_id, text from documents),
+    w as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from low),
+    word_at as (select kind, id, len(w) as n, unnest(range(0, len(w))) as pos, unnest(w) as a, unnest(list_append(w[2:], null)) as b, unnest(list_concat(w[3:], [null, null])[:len(w)]) as c, unnest(list_concat(w[4:], [null, null, null])[:len(w)]) as d from w where len(w) > 0),
+    base as (
+        select id, case when a = 'gnu' and b = 'general' and c = 'public' and d = 'license' then 'gpl' when a = 'apache' and b = 'license' then 'apache' when a = 'cc' and b = 'by' then 'cc-by' when a = 'mit' and b = 'license' then 'mit' end as label, pos
+        from word_at where kind = 0 and (a, b) in (('gnu', 'general'), ('apache', 'license'), ('cc', 'by'), ('mit', 'license'))),
+    found as (select id as doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels from base where label is not null group by id),
+    votes as (select d.id as doc_id, p.id as template, d.pos - p.pos as diagonal, d.pos, p.pos as place from word_at d join word_at p using (a, b, c) where d.kind = 0 and p.kind = 1),
+    dia as (select doc_id, template, diagonal, min(pos) as first, max(pos) as last from votes group by all),
+    size as (select id as template, n from word_at where kind = 1 group by all),
+    step as (
+        select *, case when diagonal - lag(diagonal) over o <= 3 and first - lag(last) over o <= n and lag(first) over o - last <= n then 0 else 1 end as new
+        from dia join size using (template) window o as (partition by doc_id, template order by diagonal)),
+    isle as (select *, sum(new) over (partition by doc_id, template order by diagonal rows unbounded preceding) as island from step),
+    ends as (select doc_id, template, island, n, min(first) as first, max(last) + 2 as last from isle group by all),
+    words as (select distinct doc_id, template, island, place + unnest([0, 1, 2]) as place, pos + unnest([0, 1, 2]) as pos from isle join votes using (doc_id, template, diagonal)),
+    cover as (select doc_id, template, island, count(distinct place) as places, count(distinct pos) as spots from words group by all),
+    sure as (select doc_id, label, places::double / n as score from ends join cover using (doc_id, template, island) join t using (template) where places::double / n >= 0.7 and spots::double / (last - first + 1) >= 0.7),
+    more as (select doc_id, list(distinct label) as labels, max(score) as score from sure group by doc_id)
+    select d.id as doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(array_to_string(list_sort(f.labels), ','), '') as base_labels,
+        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(f.labels, []), coalesce(m.labels, [])))), ','), '') as labels, case when n_base > 0 then 1.0::double else coalesce(m.score, 0.0::double) end as score
+    from w d left join found f on f.doc_id = d.id left join more m on m.doc_id = d.id where d.kind = 0
+    """.replace("TEMPLATES", ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))),
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(read(spark, sf_dir, "documents")).drop("spans")
