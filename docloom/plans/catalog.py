@@ -656,6 +656,6 @@ def scope_match(spark, sf_dir):
     return govern.match_scopes(s, matters)
 
 
-from . import records_catalog  # noqa: E402, F401
+from . import records_catalog, store_catalog  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES", "RULES", "S"]
