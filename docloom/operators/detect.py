@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 
 
-def detect(docs: DataFrame, text_col: str = "text", out: str = "matches", codes: Iterable[str] | None = None, extra: Column | None = None, most: int | None = S.MOST_MATCHES) -> DataFrame:
+def detect(docs: DataFrame, text_col: str = "text", out: str = "matches", codes: Iterable[str] | None = None, extra: Column | None = None, most: int | None = S.MOST_MATCHES, counted: str | None = None) -> DataFrame:
     """``docs`` with an array of matches, by position; all in the JVM.
 
     Rules run in order, as a rule marked so skips spans that an earlier one has claimed.  Then
     one match per span is kept and parts of earlier tokens are left out.  A text with more than
     ``most`` matches (4096) gets null, which later steps take as a failed detection; None for
-    ``most`` counts them all.  ``extra`` adds an array of matches of another detector, such as
+    ``most`` counts them all; ``counted`` names a column for that number.  ``extra`` adds an array of matches of another detector, such as
     a model.  Null texts get null.
     """
     text = F.col(text_col)
@@ -39,10 +39,21 @@ def detect(docs: DataFrame, text_col: str = "text", out: str = "matches", codes:
     now = added()
     if extra is not None:
         now = now.withColumn(out, F.concat(F.col(out), extra.cast(S.MATCH)))
+    if counted:
+        now = now.withColumn(counted, F.size(out))
     now = now.withColumn(out, F.when(text.isNotNull() & (F.lit(True) if most is None else F.size(out) <= most), S.one_per_span(F.col(out))))
     return now.withColumn(out, S.outside_tokens(text, F.col(out)))
 
 
 def counts_by(matches: DataFrame, *keys: str, col: str = "matches") -> DataFrame:
     """Number of matches by entity and the given columns, summed on the map side."""
-    return matches.select(*keys, F.explode(col).alias("m")).groupBy(*keys, F.col("m.entity").alias("entity")).agg(F.count("*").alias("found"))
+    return each_match(matches, *keys, col=col).groupBy(*keys, F.col("m.entity").alias("entity")).agg(F.count("*").alias("found"))
+
+
+def each_match(matches: DataFrame, *keys: str, col: str | Column = "matches") -> DataFrame:
+    """A row ``m`` for each match, with the given columns.
+
+    Not ``explode``: from it Spark infers a filter that repeats the whole expression of the
+    matches, and planning it takes far longer than the search.
+    """
+    return matches.select(*keys, F.explode_outer(col).alias("m")).where("m is not null")

@@ -12,8 +12,9 @@ from ..functions import spans as S
 from ..functions.entities import RULES
 from ..operators import chunk as chunking
 from ..operators import cite, evaluate, federate, govern, redact, retrieve
-from ..operators.detect import counts_by, detect
+from ..operators.detect import counts_by, detect, each_match
 from ..sources import extract
+from ..sources.shared import written
 from ..streaming import loops
 from .scope import SCOPE_SQL, scoped, table
 
@@ -87,14 +88,15 @@ def audit(docs, codes=COMMON):
     A text that redaction refuses for its many matches keeps them all, and counts once under
     the class REFUSED.
     """
-    done = redact.sanitize(docs.select("doc_id", "source", "text"), TEST_KEY, codes=codes)
+    every = detect(docs.select("source", "text"), out="every", codes=codes, most=None, counted="n")
+    every = every.withColumn("matches", F.when(F.col("n") <= S.MOST_MATCHES, F.col("every")))
+    done = redact.verify(redact.redact(every, TEST_KEY), codes)
+    marks = lambda c, left: F.transform(c, lambda m: F.struct(m["entity"].alias("entity"), F.lit(left).alias("left")))
+    refusal = F.array(*[F.struct(F.lit("REFUSED").alias("entity"), F.lit(left).alias("left")) for left in (0, 1)])
     refused = F.col("text").isNotNull() & F.col("residue").isNull()
-    failed = done.where(refused).select("source", "text")
-    marks = lambda m: F.array(F.struct(m.alias("entity"), F.lit(0).alias("left")), F.struct(m.alias("entity"), F.lit(1).alias("left")))
-    whole = detect(failed, codes=codes, most=None)
-    whole = whole.select("source", F.explode(F.flatten(F.concat(F.array(marks(F.lit("REFUSED"))), F.transform("matches", lambda m: marks(m["entity"]))))).alias("m"))
-    both = done.select("source", F.explode(F.concat(F.transform("matches", lambda m: F.struct(m["entity"].alias("entity"), F.lit(0).alias("left"))), F.transform("residue", lambda m: F.struct(m["entity"].alias("entity"), F.lit(1).alias("left"))))).alias("m"))
-    return both.unionByName(whole).groupBy("source", F.col("m.entity").alias("entity")).agg(F.count_if(F.col("m.left") == 0).alias("found"), F.count_if(F.col("m.left") == 1).alias("residual"))
+    whole = F.when(refused, F.concat(refusal, marks("every", 0), marks("every", 1))).otherwise(F.concat(marks("matches", 0), marks("residue", 1)))
+    found = each_match(done, "source", col=whole).select("source", "m.entity", "m.left")
+    return found.groupBy("source", "entity").agg(F.count_if(F.col("left") == 0).alias("found"), F.count_if(F.col("left") == 1).alias("residual"))
 
 
 def _count_sql(pattern: str, guard: bool) -> str:
@@ -220,8 +222,8 @@ def token_mint(spark, sf_dir):
 
 @query("rescan_findings", "select 'findings' as what, count(*)::bigint as matches, count(distinct document_id)::bigint as documents, count(distinct (document_id, chunk_index))::bigint as chunks from (select document_id, chunk_index, unnest(regexp_extract_all(content, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) from ({CHUNKS}) where sanitization_state = 'sanitized')".replace("\\\\", "\\"))
 def rescan(spark, sf_dir):
-    rows = detect(line_chunks(spark, sf_dir).where("sanitization_state = 'sanitized'"), "content", codes=["EMAIL"], most=None).select("document_id", "chunk_index", F.explode("matches").alias("m"))
-    return rows.agg(F.count("*").alias("matches"), F.countDistinct("document_id").alias("documents"), F.countDistinct("document_id", "chunk_index").alias("chunks")).select(F.lit("findings").alias("what"), "matches", "documents", "chunks")
+    rows = detect(line_chunks(spark, sf_dir).where("sanitization_state = 'sanitized'"), "content", codes=["EMAIL"], most=None)
+    return each_match(rows, "document_id", "chunk_index").agg(F.count("*").alias("matches"), F.countDistinct("document_id").alias("documents"), F.countDistinct("document_id", "chunk_index").alias("chunks")).select(F.lit("findings").alias("what"), "matches", "documents", "chunks")
 
 
 # --- scope and state ---------------------------------------------------------------------
@@ -423,7 +425,7 @@ def lexical_topk(spark, sf_dir):
 @query("hybrid_topk")
 def hybrid_topk(spark, sf_dir):
     """Whole documents in chunks, searched for every vector whose id is divisible by 50."""
-    chunks = chunking.chunk(retrieve.gated(scoped(spark, sf_dir), 1), "document_id")
+    chunks = written(chunking.chunk(retrieve.gated(scoped(spark, sf_dir), 1), "document_id"), "chunks")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
     found = retrieve.hybrid_each(chunks, vectors, PHRASE, _searches(spark, sf_dir), 10, 3000)
     return found.select("query_id", "document_id", "chunk_index", "rank", "score", "matched", F.length("content").alias("chars"))
@@ -656,6 +658,6 @@ def scope_match(spark, sf_dir):
     return govern.match_scopes(s, matters)
 
 
-from . import records_catalog, store_catalog  # noqa: E402, F401
+from . import classes_catalog, records_catalog, store_catalog  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES", "RULES", "S"]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve
 from ..operators.postings import REACH, SQUARES, WEIGHT, PostingIndex
+from ..sources.extract import extract, read_files
+from ..sources.packages import edit_texts, register
 from ..sources.shared import new_folder
 from ..sources.versioned import VersionedTable
 from .catalog import ORACLES, QUERIES, line_chunks, query
@@ -111,4 +113,51 @@ def lexical_index_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posting_search(spark, sf_dir, lambda c: F.translate(c, _LETTERS, _HAN))
 
 
+_ESC = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    "tracked_edits",
+    f"""
+    with d as (select doc_id, text, source, substring(text, 11, 20) as f from documents where length(text) >= 40),
+    e as (select *, translate(f, 'aeiou', 'AEIOU') || ' and ' || source as r, instr(text, f) as i from d)
+    select doc_id, cast(null as varchar) as refused, md5({_ESC("substring(text, 1, (i - 1)::int) || r || substring(text, (i + 20)::int)")}) as md5, length({_ESC("f")})::int as gone from e
+    """,
+)
+def tracked_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty characters of each document changed as tracked words: what acceptance shows, and what the marks and equal words hold of the old text."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 40").select("doc_id", "text", F.substring("text", 11, 20).alias("f"), "source")
+    rows = docs.select("doc_id", "text", "f", F.concat(F.translate("f", "aeiou", "AEIOU"), F.lit(" and "), "source").alias("r"), F.concat(F.lit('<w:p><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">'), escaped(F.col("text")), F.lit("</w:t></w:r></w:p>")).alias("xml"))
+    done = edit_texts(rows, "xml", "f", "r")
+    visible = F.regexp_replace("accepted", "<[^>]*>", "")
+    # without its insertions the edited part holds the old text: so much of it is not outside of what was found
+    old = F.regexp_replace(F.regexp_replace("edited", "(?s)<w:ins .*?</w:ins>", ""), "<[^>]*>", "")
+    same = F.when(old == escaped(F.col("text")), F.length(escaped(F.col("f"))))
+    return done.select("doc_id", "refused", F.md5(visible).alias("md5"), same.alias("gone"))
+
+
+@query(
+    "docx_round_trip",
+    """
+    select s_suppkey, 'docx' as format, false as incomplete, 'Deed of ' || s_name || '(' || s_nationkey || ')' || '(a)  first & last(b)  <second>• point' || '[head]' || '[' || round(s_acctbal, 2)::decimal(12, 2) || ']' || '"end"' as text from supplier
+    """,
+)
+def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package written for every supplier with the docx sink, and its text read back."""
+    register(spark)
+    folder, s = new_folder(spark, "deeds"), table(spark, sf_dir, "supplier")
+    part = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in more.items()])
+    none = {"text": F.lit(None).cast("string"), "items": F.lit(None).cast("array<string>"), "headers": F.lit(None).cast("array<string>"), "rows": F.lit(None).cast("array<array<string>>"), "depth": F.lit(2)}
+    one = lambda kind, **more: part(kind, **{**none, **more})
+    sections = F.array(
+        one("paragraph", text=F.concat(F.lit("("), F.col("s_nationkey").cast("string"), F.lit(")"))), one("numbered_list", items=F.array(F.lit("first & last"), F.lit("<second>"))), one("bullet_list", items=F.array(F.lit("point"))),
+        one("table", headers=F.array(F.lit("[head]")), rows=F.array(F.array(F.concat(F.lit("["), F.col("s_acctbal").cast("decimal(12,2)").cast("string"), F.lit("]"))))), one("page_break"), one("recital", text=F.lit('"end"')),
+    )
+    structure = F.to_json(F.struct(F.concat(F.lit("Deed of "), "s_name").alias("title"), sections.alias("sections")))
+    s.select(F.concat(F.lit("s"), "s_suppkey", F.lit(".docx")).alias("name"), structure.alias("structure")).write.format("docx").mode("append").save(folder)
+    key = F.regexp_extract("path", r"s([0-9]+)\.docx$", 1).cast("long").alias("s_suppkey")
+    return extract(read_files(spark, folder)).select(key, "format", "incomplete", "text")
+
+
 __all__ = ["ORACLES", "QUERIES"]

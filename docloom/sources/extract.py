@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.govern import format_of
+from .packages import Package
 
 #: part prefix -> element names whose text counts, in the order in which they are read
 PARTS = {"word/": ("w:t", "w:delText", "w:instrText", "w:delInstrText"), "xl/": ("t",), "ppt/": ("a:t", "a:fld")}
@@ -75,31 +74,27 @@ def _joined(pieces: list[str]) -> str:
 
 
 def office_text(data: bytes) -> tuple[str, bool]:
-    """(text, incomplete) of a docx, xlsx or pptx, part by part and element by element."""
-    try:
-        box = zipfile.ZipFile(io.BytesIO(data))
-    except (zipfile.BadZipFile, OSError):
-        return "", True
-    names, pieces, incomplete = box.namelist(), [], False
-    used = [p for p in PARTS if any(n.startswith(p) for n in names)]
+    """(text, incomplete) of a docx, xlsx or pptx, part by part and element by element.
+
+    Whatever is damaged, hidden from the directory or too large once inflated makes the text
+    incomplete; metadata too.
+    """
+    box, pieces = Package(data), []
+    used = [p for p in PARTS if any(n.startswith(p) for n in box.names)]
     if not used:
         return "", True
     for prefix in used:
-        incomplete |= MAIN[prefix] not in names
-        for name in sorted(n for n in names if n.startswith(prefix) and n.endswith(".xml")):
-            try:
-                xml = box.read(name).decode("utf-8", "replace")
-            except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
-                incomplete = True
-                continue
+        box.incomplete |= MAIN[prefix] not in box.names
+        for name in sorted(n for n in box.names if n.startswith(prefix) and n.endswith(".xml")):
+            xml = (box.read(name) or b"").decode("utf-8", "replace")
             for element in PARTS[prefix]:
                 for m in re.finditer(rf"<{element}(?:\s[^>]*)?(?<!/)>(.*?)</{element}>", xml, re.S):
                     pieces.append(_decoded(re.sub(r"<[^>]*>", "", m[1])))
     text = _joined(pieces)
     for name in ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml"):
-        if name in names:
-            text += _properties(box.read(name).decode("utf-8", "replace"), name.endswith("custom.xml"))
-    return text, incomplete or not text.strip()
+        if name in box.names:
+            text += _properties((box.read(name) or b"").decode("utf-8", "replace"), name.endswith("custom.xml"))
+    return text, box.incomplete or not text.strip()
 
 
 def _properties(xml: str, custom: bool) -> str:
@@ -112,10 +107,7 @@ def _properties(xml: str, custom: bool) -> str:
 
 def simple_docx(data: bytes) -> str:
     """The other reader: every tag of the main part taken out, entities left as they are."""
-    try:
-        return re.sub(r"<[^>]*>", "", zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "replace"))
-    except (zipfile.BadZipFile, KeyError, OSError):
-        return ""
+    return re.sub(r"<[^>]*>", "", (Package(data).read("word/document.xml") or b"").decode("utf-8", "replace"))
 
 
 def _office(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
