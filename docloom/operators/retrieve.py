@@ -104,17 +104,17 @@ def first_k(rows: DataFrame, k: int, *by: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
-def semantic_each(chunks: DataFrame, queries: DataFrame, k: int, at_once: int = 65_536) -> DataFrame:
+def semantic_each(chunks: DataFrame, queries: DataFrame, k: int, at_once: int = 64 << 20) -> DataFrame:
     """(query_id, document_id, chunk_index, score): top k chunks by cosine for each of (query_id, q).
 
-    Every query meets every chunk.  Queries go to the tasks ``at_once`` at most in one pass, and
-    each task hands on its k best of a query.  Vectors without a cosine are no hits.
+    Every query meets every chunk.  Queries go to the tasks in passes of ``at_once`` bytes at most,
+    and each task hands on its k best of a query.  Vectors without a cosine are no hits.
     """
     spark = chunks.sparkSession
     given = queries.select(F.col("query_id").cast("long").alias("query_id"), "q").where("q is not null")
-    count = given.count()
+    size = given.agg(F.coalesce(F.sum(8 + 8 * F.size("q") + 24 * k), F.lit(0))).first()[0]
     rows = chunks.where("embedding is not null").select(F.col("document_id").cast("long").alias("document_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
-    out, passes = None, max(1, -(-count // at_once))
+    out, passes = None, max(1, -(-size // at_once))
     for i in range(passes):
         some = given.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow().combine_chunks()
         vectors = some.column("q").combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float64()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve
 from ..operators.postings import REACH, SQUARES, WEIGHT, PostingIndex
+from ..operators.vectors import VectorIndex, recall
 from ..sources.extract import extract, read_files
 from ..sources.packages import edit_texts, register
 from ..sources.shared import new_folder
@@ -113,6 +114,38 @@ def lexical_index_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posting_search(spark, sf_dir, lambda c: F.translate(c, _LETTERS, _HAN))
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """All vectors of the table, half of them added after the index was made."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    index = VectorIndex.create(rows.where("document_id % 2 = 0"), new_folder(spark, "vectors"))
+    index.add(rows.where("document_id % 2 = 0"))
+    index.add(rows.where("document_id % 2 = 1"))
+    return index
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query("semantic_index_topk")
+def semantic_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty near vectors of every vector whose id is divisible by 50, and how many rows each search looked at."""
+    index = _vector_index(spark, sf_dir)
+    hits, touched = index.search(_vector_queries(spark, sf_dir), 20, index.tune(20))
+    return hits.join(touched, "query_id").select("query_id", "document_id", "score", F.col("rows").alias("rows_touched"))
+
+
+@query("semantic_index_recall", "select count(*)::bigint as queries, true as recalled, true as fewer_rows from embeddings where vec_id % 50 = 0 and embedding is not null")
+def semantic_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether nine tenths of the exact neighbours are found, looking at less than the whole table."""
+    index, asked = _vector_index(spark, sf_dir), _vector_queries(spark, sf_dir)
+    hits, touched = index.search(asked, 20, index.tune(20))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    got = recall(hits, retrieve.semantic_each(rows, asked, 20))
+    mean = touched.agg(F.avg("rows").alias("mean"))
+    return got.join(mean).join(rows.agg(F.count("*").alias("all"))).select("queries", (F.col("recall") >= 0.9).alias("recalled"), (F.col("mean") < F.col("all")).alias("fewer_rows"))
+
+
 _ESC = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
