@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .govern import format_of
@@ -60,3 +60,34 @@ def windows(text: Column, most: int, overlap: int) -> Column:
     whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end"))).cast("array<struct<start:int,end:int>>")
     made = F.aggregate(rounds, whole, lambda acc, _: halved(acc).cast("array<struct<start:int,end:int>>"))
     return F.when(n > 0, F.transform(made, lambda s: F.struct(F.greatest(s["start"] - overlap, F.lit(0)).alias("start"), s["end"].alias("end")))).otherwise(empty)
+
+
+def united(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end): spans of equal keys that overlap, put together.
+
+    ``keys`` are the text and the entity.  Spans that only touch stay apart.
+    """
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    behind = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("start") < behind, 0).otherwise(1)
+    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("_new", new).withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
+def by_windows(docs: DataFrame, id_col: str, text_col: str, most: int, overlap: int, find) -> DataFrame:
+    """(id, entity, start, end) of ``find(windows, "content")`` run on windows of each text.
+
+    ``find`` adds ``matches`` to a table of windows, as ``detect`` does.  Near the edge of a window
+    it lacks the text beside it, so a match counts where both sides of its start have half the
+    ``overlap``; what several windows find is put together.  An identifier longer than that may be cut.
+    """
+    half = overlap // 2
+    cut = docs.select(id_col, F.col(text_col).alias("_text"), F.explode(windows(F.col(text_col), most, overlap)).alias("w"))
+    last = F.col("w.end") == F.length("_text")
+    rows = cut.select(
+        id_col, F.col("w.start").alias("_from"), F.when(F.col("w.start") > 0, half).otherwise(0).alias("_least"), F.when(~last, F.col("w.end") - F.col("w.start") - half).alias("_most"),
+        F.substring(F.col("_text"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("content"),
+    )
+    each = find(rows, "content").select(id_col, "_from", "_least", "_most", F.explode_outer("matches").alias("m")).where("m is not null")
+    each = each.where((F.col("m.start") >= F.col("_least")) & (F.col("_most").isNull() | (F.col("m.start") < F.col("_most"))))
+    return united(each.select(id_col, F.col("m.entity").alias("entity"), (F.col("_from") + F.col("m.start")).alias("start"), (F.col("_from") + F.col("m.end")).alias("end")), [id_col, "entity"])

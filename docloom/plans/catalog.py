@@ -658,6 +658,6 @@ def scope_match(spark, sf_dir):
     return govern.match_scopes(s, matters)
 
 
-from . import classes_catalog, records_catalog, store_catalog  # noqa: E402, F401
+from . import classes_catalog, records_catalog, store_catalog, surface_catalog  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES", "RULES", "S"]

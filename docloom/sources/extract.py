@@ -162,4 +162,4 @@ def telemetry(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def served(content: Column, type_: Column) -> Column:
     """Text as it is for text and JSON content types, else base64."""
     text = F.lower(type_).rlike("^text/|json") & F.is_valid_utf8(content.cast("string"))
-    return F.when(text, F.decode(content, "UTF-8")).otherwise(F.base64(content))
+    return F.when(text, F.decode(content, "UTF-8")).otherwise(F.regexp_replace(F.base64(content), "[\r\n]", ""))

@@ -80,6 +80,30 @@ def round_guard(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("reason", F.when(again, "identical").when(streak >= 3, "errors").when(F.col("round") >= 10, "rounds"))
 
 
+STATE = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("hashes", "tools", "warned", "warned_tools")])
+
+
+def judged(state: tuple, hash_: str, tool: str) -> tuple[tuple, int, int, str | None]:
+    """(state, equal calls in the window, calls of the tool, action) after one more call of a thread."""
+    hashes, tools, warned, warned_tools = (list(x) for x in state)
+    hashes = (hashes + [hash_])[-WINDOW:]
+    warned = [h for h in warned if h in hashes]
+    same, action = hashes.count(hash_), None
+    if same >= STOP:
+        action = "stop"
+    elif same >= WARN and hash_ not in warned:
+        warned.append(hash_)
+        action = "warn"
+    tools = (tools + [tool])[-max(TOOL_STOP, WINDOW):]
+    used = tools.count(tool)
+    if action is None and used >= TOOL_STOP:
+        action = "stop"
+    elif action is None and used >= TOOL_WARN and tool not in warned_tools:
+        warned_tools.append(tool)
+        action = "warn"
+    return (hashes, tools, warned, [t for t in warned_tools if tools.count(t) >= TOOL_WARN]), same, used, action
+
+
 class LoopDetector(StatefulProcessor):
     """Per thread: the last hashes and tool names; with ``ttl_ms`` a silent thread is forgotten."""
 
@@ -87,37 +111,59 @@ class LoopDetector(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("hashes", T.ArrayType(T.StringType())), T.StructField("tools", T.ArrayType(T.StringType())), T.StructField("warned", T.ArrayType(T.StringType())), T.StructField("warned_tools", T.ArrayType(T.StringType()))])
-        self.state = handle.getValueState("thread", schema, self.ttl_ms)
+        self.state = handle.getValueState("thread", STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        hashes, tools, warned, warned_tools = (list(x) for x in self.state.get()) if self.state.exists() else ([], [], [], [])
+        state = self.state.get() if self.state.exists() else ([], [], [], [])
         out = []
         for r in pd.concat(rows).sort_values("seq").itertuples():
-            hashes = (hashes + [r.hash])[-WINDOW:]
-            warned = [h for h in warned if h in hashes]
-            same, action = hashes.count(r.hash), None
-            if same >= STOP:
-                action = "stop"
-            elif same >= WARN and r.hash not in warned:
-                warned.append(r.hash)
-                action = "warn"
-            tools = (tools + [r.tool])[-max(TOOL_STOP, WINDOW):]
-            used = tools.count(r.tool)
-            if action is None and used >= TOOL_STOP:
-                action = "stop"
-            elif action is None and used >= TOOL_WARN and r.tool not in warned_tools:
-                warned_tools.append(r.tool)
-                action = "warn"
-            warned_tools = [t for t in warned_tools if tools.count(t) >= TOOL_WARN]
+            state, same, used, action = judged(state, r.hash, r.tool)
             out.append((key[0], r.seq, same, used, action))
-        self.state.update((hashes, tools, warned, warned_tools))
+        self.state.update(state)
         yield pd.DataFrame(out, columns=["thread_id", "seq", "same", "tool_calls", "action"])
 
     def close(self) -> None:
         pass
 
 
+class RecentThreads(StatefulProcessor):
+    """Per shard: the ``most`` threads with the latest calls, in that order; the oldest is forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        one = T.StructType([T.StructField("thread", T.StringType()), *STATE.fields])
+        self.state = handle.getValueState("threads", T.StructType([T.StructField("threads", T.ArrayType(one))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        threads = {t[0]: tuple(t[1:]) for t in self.state.get()[0]} if self.state.exists() else {}
+        out = []
+        for r in pd.concat(rows).sort_values("seq").itertuples():
+            name = str(r.thread_id)
+            state, same, used, action = judged(threads.pop(name, ([], [], [], [])), r.hash, r.tool)
+            threads[name] = state  # behind all others
+            if len(threads) > self.most:
+                threads.pop(next(iter(threads)))
+            out.append((r.thread_id, r.seq, same, used, action))
+        self.state.update(([(name, *state) for name, state in threads.items()],))
+        yield pd.DataFrame(out, columns=["thread_id", "seq", "same", "tool_calls", "action"])
+
+    def close(self) -> None:
+        pass
+
+
+def detect_recent(calls: DataFrame, most: int = 100, shards: int = 1) -> DataFrame:
+    """Streaming form that keeps only the ``most`` most recent threads of each shard, exactly.
+
+    With one shard these are the most recent of all threads, and all calls meet in one task; more
+    shards (by a hash of the thread) share the work, each with its own order.  Calls of a batch are
+    taken in the order of ``seq``.
+    """
+    shard = F.pmod(F.xxhash64("thread_id"), F.lit(shards))
+    return calls.withColumn("_shard", shard).groupBy("_shard").transformWithStateInPandas(statefulProcessor=RecentThreads(most), outputStructType=OUT, outputMode="append", timeMode="None")
+
+
 def detect_stream(calls: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Streaming form of the detector over (thread_id, seq, tool, hash).
 
