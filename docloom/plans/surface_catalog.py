@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums as C
 from ..functions.normal import hits_within, stripped
+from ..functions.sqlfunctions import register
 from ..operators import cite, drafts, evaluate, federate, govern, records, retrieve
 from ..operators.detect import detect
 from ..sources import extract
@@ -210,4 +211,29 @@ def chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.gated(line_chunks(spark, sf_dir), 2).join(docs, "document_id").select("document_id", "chunk_index", "name", "version", F.length("content").alias("chars"))
 
 
+@query(
+    "sql_functions",
+    """
+    with t as (select document_id, sanitization_state, translate(substring(text, 1, 30), 'eta', '的一是') as s from ({SCOPE})),
+    k as (select *, list_filter(regexp_split_to_array(regexp_replace(lower(s), '([一-鿿])', ' \\1 ', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x != '') as t from t)
+    select document_id, array_to_string(t, ' <-> ') as phrase, len(t)::int as tokens, case sanitization_state when 'sanitized' then 'redacted' when 'never' then 'original' else 'refuse' end as egress from k
+    """,
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered functions used from SQL over the documents."""
+    register(spark)
+    rows = scoped(spark, sf_dir).select("document_id", "sanitization_state", F.translate(F.substring("text", 1, 30), "eta", "的一是").alias("s"))
+    return spark.sql("select document_id, cjk_tsquery(s) as phrase, size(cjk_tokens(s)) as tokens, egress_admission(sanitization_state) as egress from {rows}", rows=rows)
+
+
+@query(
+    "sql_identifiers",
+    f"with recursive {_DOCS}, {_hits('h', 'p', _EMAIL, False)} select id as doc_id, place::int as \"start\", hit as value from h",
+)
+def sql_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of all documents through the table function."""
+    register(spark)
+    return spark.sql("select doc_id, m.start, m.value from {docs} as d, lateral identifiers(text) as m where m.entity = 'EMAIL'", docs=table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
