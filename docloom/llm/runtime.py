@@ -100,8 +100,8 @@ def small_or_not(keys: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 HOT = 20_000
 
 
-def spread_join(left: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
-    """``left`` with the columns of ``keys``, a written table with one row a key.
+def spread_join(left: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``keys``, a written table with one row a key; ``how`` is inner or left.
 
     ``n`` is the number of rows of ``left`` that a key has, of ``total``.  Keys of more than a
     HOT-th of all rows, of which there are at most HOT, are broadcast; the rest are shuffled, and
@@ -109,7 +109,7 @@ def spread_join(left: DataFrame, keys: DataFrame, on: list[str], n: str, total:
     """
     most = max(1000, total // HOT)
     hot, cold = F.broadcast(keys.where(F.col(n) > most)), keys.where(F.col(n) <= most)
-    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(cold, on))
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(cold, on, how))
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:

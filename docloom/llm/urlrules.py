@@ -88,15 +88,20 @@ def mine(labelled: DataFrame, scratch: Scratch, support: float = 0.001, least: i
     may = (F.col("bad") >= wanted) & (F.col("n") < m) & (F.col("n") <= common * n)
     kept = scratch.table(counts.where(may).select("t", "n"), "kept")
     steps["tokens"] = kept.count()
+    # tokens that stand in the same rows stand for one another: a rule needs one of them, and any will do
+    each = scratch.table(used.withColumn("row", F.monotonically_increasing_id()), "used").select("row", "bad", F.explode("tokens").alias("t")).join(small_or_not(kept.select("t")), "t")
+    mark = lambda i: F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(38,0)")).alias(f"m{i}")
+    alike = each.groupBy("t").agg(F.count("*").alias("n"), mark(1), mark(2)).groupBy("n", "m1", "m2").agg(F.min("t").alias("first"), F.collect_list("t").alias("members"))
+    alike = scratch.table(alike.select("first", "n", "members"), "alike")
+    steps["different"] = alike.count()
     # rows of equal tokens are one with a count
-    sets = used.withColumn("row", F.monotonically_increasing_id())
-    sets = scratch.table(sets, "used").select("row", "bad", F.explode("tokens").alias("t")).join(small_or_not(kept.select("t")), "t").groupBy("row", "bad").agg(F.sort_array(F.collect_list("t")).alias("items"))
+    sets = each.join(small_or_not(alike.select(F.col("first").alias("t"))), "t").groupBy("row", "bad").agg(F.sort_array(F.collect_list("t")).alias("items"))
     sets = scratch.table(sets.groupBy("items").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good")), "sets")
     bad = sets.where("n_bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("n_bad"))))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (wanted - 0.5) / n_bad)).fit(bad.select("items"))
     # FP-growth's shares are of the rows it saw; it gives counts
     found = model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("bad")).withColumn("rule", F.xxhash64("items")).withColumn("size", F.size("items"))
-    found = keyed(scratch.table(found, "found"), kept, scratch)
+    found = keyed(scratch.table(found, "found"), alike.select(F.col("first").alias("t"), "n"), scratch)
     steps["supported"] = found.count()
     good = sets.where("n_good > 0").select("items", "n_good", F.explode("items").alias("key"))
     inside = F.size(F.array_intersect(good["items"], found["items"])) == F.col("size")
@@ -110,7 +115,12 @@ def mine(labelled: DataFrame, scratch: Scratch, support: float = 0.001, least: i
     small = sure.select("key", F.col("items").alias("part"), F.col("size").alias("part_size"), F.col("confidence").alias("part_confidence"))
     over = sure.select("rule", "items", "size", "confidence", F.explode("items").alias("key")).join(small, "key")
     beaten = over.where("part_size < size and part_confidence >= confidence and size(array_intersect(items, part)) = part_size").select("rule").distinct()
-    rules = scratch.table(sure.join(beaten, "rule", "left_anti").select("rule", "items", "size", "confidence", "support"), "rules")
+    left = scratch.table(sure.join(beaten, "rule", "left_anti").select("rule", "items", "size", "confidence", "support"), "left")
+    # back from the tokens that were mined to all that stand in the same rows
+    choices = left.select("rule", F.explode("items").alias("first")).join(small_or_not(alike), "first").groupBy("rule").agg(F.collect_list("members").alias("choices"))
+    ways = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda made, more: F.flatten(F.transform(made, lambda m: F.transform(more, lambda x: F.concat(m, F.array(x))))))
+    rules = left.drop("items").join(choices, "rule").select(F.explode(ways).alias("items"), "size", "confidence", "support")
+    rules = scratch.table(rules.select(F.xxhash64(F.sort_array("items")).alias("rule"), F.sort_array("items").alias("items"), "size", "confidence", "support"), "rules")
     steps["rules"] = rules.count()
     return rules
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, small_or_not
+from .runtime import SMALL_ROWS, Scratch, spread_join
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -245,10 +245,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     scratch = Scratch(pages.sparkSession, "warc")
     payload = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("n"))
-    mean = base.agg(F.avg("n")).first()[0] or 0.0
-    per_file = max(1, min(1_000_000, int(file_bytes / (mean + 500))))
-    same = base.where(F.col("n") >= least).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("c")).where("c > 1 and last is not null").select("sha", "last")
-    known = base.join(small_or_not(scratch.table(same, "same")), "sha", "left")
+    mean, total = base.agg(F.avg("n"), F.count("*")).first()
+    per_file = max(1, min(1_000_000, int(file_bytes / ((mean or 0.0) + 500))))
+    same = base.where(F.col("n") >= least).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("c")).where("c > 1 and last is not null")
+    same = scratch.table(same, "same")
+    # beyond a list that all tasks can hold, a payload that very many pages share is still looked up, not shuffled
+    known = base.join(F.broadcast(same), "sha", "left") if same.count() <= SMALL_ROWS else spread_join(base, same, ["sha"], "c", total, "left")
     revisit = (F.col("n") >= least) & F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("last")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = "\r\n"

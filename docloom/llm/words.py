@@ -6,9 +6,9 @@ scanning code points.  Every function here works on a *block*: consecutive rows
 batch of about ``BLOCK_BYTES`` bytes (one longer row is a block of its own), which bounds the
 memory of a task whatever the batch holds.
 
-Word and window identities are 64-bit fingerprints.  A word's is the sum of random numbers,
-one for each byte and place in the word, so no two words are alike by construction, however
-regular they are; a window's mixes those of its two halves, without being linear in them.
+Word and window identities are 64-bit fingerprints.  A word's mixes its bytes in eights, one
+after the other, and a window's mixes those of its two halves; neither is linear in what it
+mixes, so no two are alike by construction, however regular they are.
 Stages that must be exact compare two independent ones (``seed``).
 
 Null texts are empty texts.
@@ -16,8 +16,8 @@ Null texts are empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +40,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-PLACES = 64
-
-
-@lru_cache(maxsize=8)
-def _bytes_table(seed: int, lower: bool) -> np.ndarray:
-    """A random number for each byte in each of the first places of a word, in one row."""
-    table = np.random.default_rng(1000 + seed).integers(0, 1 << 64, (PLACES, 256), dtype=np.uint64)
-    if lower:
-        table[:, 65:91] = table[:, 97:123]
-    return table.ravel()
+LONG = 4096  # bytes from which a range is hashed by itself
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] = LOWER[97:123]
 
 
 def rolled(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -103,18 +97,18 @@ class Block:
 
     def spans(self, start: np.ndarray, end: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:
         """Fingerprints of byte ranges."""
+        data = np.concatenate([LOWER[self.data] if lower else self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
         size = end - start
-        ends = np.cumsum(size)
-        n = int(ends[-1]) if len(ends) else 0
-        place = np.arange(n) - np.repeat(ends - size, size)
-        key = self.data[place + np.repeat(start, size)] + ((place & (PLACES - 1)) << 8)
-        value = _bytes_table(seed, lower)[key]
-        far = np.flatnonzero(place >= PLACES)
-        if len(far):
-            value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(value, out=total[1:])
-        return mix(total[ends] - total[ends - size] + size.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(seed + 1))
+        out = mix((eight[start] & MASKS[np.minimum(size, 8)]) + U((2 * seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        at, more = 8, np.flatnonzero((size > 8) & (size <= LONG))
+        while len(more):
+            out[more] = mix(out[more] * U(0xD6E8FEB86659FD93) + (eight[start[more] + at] & MASKS[np.minimum(size[more] - at, 8)]))
+            at += 8
+            more = more[size[more] > at]
+        for i in np.flatnonzero(size > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
+        return mix(out ^ size.astype(np.uint64))
 
     def hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
         """Fingerprints of words."""

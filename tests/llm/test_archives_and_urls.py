@@ -170,6 +170,38 @@ def test_rules_match_brute_force_mining(spark):
     assert {tuple(r["items"]) for r in got} == want
 
 
+def test_equal_urls_of_many_tokens_are_mined_at_once(spark):
+    """Ten equal bad urls of 25 tokens, of which 24 stand nowhere else: 24 rules of one token, not millions of combinations."""
+    import time
+
+    from docloom.llm.runtime import Scratch
+
+    words = [f"k{i}" for i in range(24)]
+    rows = [(["com", *words], True)] * 10 + [(["com", f"t{i % 40}"], i % 7 == 0) for i in range(200)]
+    df, began, steps = spark.createDataFrame(rows, "tokens array<string>, bad boolean"), time.time(), {}
+    got = urlrules.mine(df, Scratch(spark, "test"), least=5, steps=steps).collect()
+    assert {tuple(r["items"]) for r in got} == {(w,) for w in words} and {r["confidence"] for r in got} == {1.0}
+    assert steps["different"] <= steps["tokens"] - 23 and time.time() - began < 60
+    # two such groups that are bad only together: each pair of one and one
+    a, b = [f"a{i}" for i in range(6)], [f"b{i}" for i in range(5)]
+    rows = [(a + b, True)] * 12 + [(a, False)] * 40 + [(b, False)] * 40
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), Scratch(spark, "test"), least=5).collect()
+    assert {tuple(r["items"]) for r in got} == {(x, y) for x in a for y in b} and len({r["rule"] for r in got}) == 30
+
+
+def test_a_payload_that_many_pages_share_is_spread(spark, monkeypatch):
+    from docloom.llm import runtime
+
+    monkeypatch.setattr(warc, "SMALL_ROWS", 0)
+    monkeypatch.setattr(runtime, "HOT", 10)
+    rows = [(i, "u", "common" if i % 3 else f"two {i % 30}", "x") for i in range(3000)] + [(9000 + i, "u", f"one {i}", "x") for i in range(20)]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    last = {}
+    for i, _, text, _ in rows:
+        last[text] = max(i, last.get(text, i))
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(i, "revisit", last[t]) if i < last[t] else (i, "response", None) for i, _, t, _ in rows}
+
+
 def test_a_rule_on_a_common_token_is_mined(spark):
     """A token on 55 of 100 rows, 70 % of them bad (lift 1.75); one on all rows adds nothing."""
     from docloom.llm.runtime import Scratch
