@@ -16,25 +16,31 @@ VAULT_VERSION = 1
 VAULT = "struct<version:int,entries:map<string,struct<entity:string,original:string>>>"
 
 
-def rescan_page(chunks: DataFrame, documents: DataFrame, codes: Iterable[str] | None = None, number: int = 0, size: int = 2000, most: int = 5000) -> DataFrame:
+def rescan_page(chunks: DataFrame, documents: DataFrame, codes: Iterable[str] | None = None, number: int = 0, size: int = 2000, most: int = 5000, after: tuple[int, int] | None = None) -> DataFrame:
     """One row: what a page of open chunks still holds.
 
-    A page is ``size`` chunks in the order of documents and chunk numbers.  ``findings`` are
+    A page is ``size`` chunks in the order of documents and chunk numbers, the ``number``-th from the
+    start or from behind the chunk ``after`` (document, chunk), which skips nothing but by a filter;
+    ``last_document`` and ``last_chunk`` (with ``after``) name the chunk to go on from.  ``findings`` are
     matches, at most ``most``; ``chunks_offending`` and ``documents_offending`` have at least one;
     ``already_sanitised`` of those documents are in that state.  ``truncated`` tells that chunks
     are left behind the page or matches behind the most.
     """
     order = ["document_id", "chunk_index"]
+    if after is not None:
+        chunks = chunks.where((F.col("document_id") > after[0]) | ((F.col("document_id") == after[0]) & (F.col("chunk_index") > after[1])))
     ahead = chunks.orderBy(*order).offset(number * size).limit(size + 1)
     ranked = ahead.withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # a page and one more
     found = detect(ranked, "content", codes=codes, most=None).withColumn("_k", F.when(F.col("_n") <= size, F.size("matches")).otherwise(0))
     state = documents.select("document_id", F.col("sanitization_state").alias("_state"))
     hits = F.col("_k") > 0
     one = lambda c: F.when(hits & c, F.col("document_id"))
+    within = F.when(F.col("_n") <= size, F.struct("document_id", "chunk_index"))
+    end = [F.max(within)["document_id"].alias("last_document"), F.max(within)["chunk_index"].alias("last_chunk")] if after is not None else []
     return found.drop("sanitization_state").join(state, "document_id", "left").agg(
         F.count_if(F.col("_n") <= size).alias("chunks_scanned"), F.least(F.coalesce(F.sum("_k"), F.lit(0)), F.lit(most)).alias("findings"), F.count_if(hits).alias("chunks_offending"),
         F.countDistinct(one(F.lit(True))).alias("documents_offending"), F.countDistinct(one(F.col("_state") == "sanitized")).alias("already_sanitised"),
-        ((F.count("*") > size) | (F.coalesce(F.sum("_k"), F.lit(0)) > most)).alias("truncated"),
+        ((F.count("*") > size) | (F.coalesce(F.sum("_k"), F.lit(0)) > most)).alias("truncated"), *end,
     )
 
 

@@ -28,6 +28,22 @@ def rescan_page(spark, sf_dir):
     return records.rescan_page(chunks, scoped(spark, sf_dir).select("document_id", "sanitization_state"), codes=["EMAIL"], number=1)
 
 
+@query(
+    "rescan_keyset",
+    """
+    with c as (select *, row_number() over (order by document_id, chunk_index) as n from ({CHUNKS}) where sanitization_state in ('sanitized', 'never') and (document_id, chunk_index) > (70, 1)),
+    p as (select *, len(regexp_extract_all(content, 'EMAIL')) as k from c where n <= 2000)
+    select count(*)::bigint as chunks_scanned, least(coalesce(sum(k), 0), 5000)::bigint as findings, count(*) filter (k > 0)::bigint as chunks_offending,
+        count(distinct document_id) filter (k > 0)::bigint as documents_offending, count(distinct document_id) filter (k > 0 and sanitization_state = 'sanitized')::bigint as already_sanitised,
+        (select count(*) from c) > 2000 or coalesce(sum(k), 0) > 5000 as truncated, arg_max(document_id, n) as last_document, arg_max(chunk_index, n) as last_chunk from p
+    """.replace("EMAIL", _EMAIL),
+)
+def rescan_keyset(spark, sf_dir):
+    """The page of open chunks behind chunk 1 of document 70, with the chunk that the next page goes on from."""
+    chunks = line_chunks(spark, sf_dir).where("sanitization_state in ('sanitized', 'never')")
+    return records.rescan_page(chunks, scoped(spark, sf_dir).select("document_id", "sanitization_state"), codes=["EMAIL"], after=(70, 1))
+
+
 @query("affected_documents", f"select document_id, tenant_id from ({{SCOPE}}) where document_id in (select document_id from ({{CHUNKS}}) where regexp_matches(content, '{_EMAIL}'))")
 def affected_documents(spark, sf_dir):
     return records.affected(line_chunks(spark, sf_dir).select("document_id", "content"), scoped(spark, sf_dir).select("document_id", "tenant_id"), codes=["EMAIL"])

@@ -11,6 +11,7 @@ from ..functions.sqlfunctions import register
 from ..operators import cite, drafts, evaluate, federate, govern, records, retrieve
 from ..operators.detect import detect
 from ..sources import extract
+from ..sources.markdown import markdown
 from .catalog import ORACLES, QUERIES, line_chunks, query
 from .rules_sql import _hits
 from .scope import scoped, table
@@ -211,6 +212,21 @@ def chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.gated(line_chunks(spark, sf_dir), 2).join(docs, "document_id").select("document_id", "chunk_index", "name", "version", F.length("content").alias("chars"))
 
 
+@query(
+    "pages_markdown",
+    r"""
+    with t as (select page_id, coalesce(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '') as t, html from pages),
+    d as (select *, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as plain from t)
+    select page_id, '# ' || trim(regexp_replace(regexp_replace(plain, '([\\*_\[\]`])', '\\\1', 'g'), '[ \t\n\r\f]+', ' ', 'g')) as heading, len(regexp_extract_all(html, '<li><a href='))::int as links from d
+    """,
+)
+def pages_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first heading and the number of linked list items of every page's Markdown."""
+    rows = markdown(table(spark, sf_dir, "pages"), "page_id", "html")
+    heading = F.regexp_extract("markdown", r"(?m)^# .*$", 0)
+    return rows.select("page_id", heading.alias("heading"), F.size(F.regexp_extract_all("markdown", F.lit(r"(?m)^- \[.*?\]\("), F.lit(0))).alias("links"))
+
+
 @query(
     "sql_functions",
     """
