@@ -218,8 +218,9 @@ class Lexicon:
         """The number of each fingerprint."""
         if not len(self.h):
             return (h | U(1 << 63)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, (h | U(1 << 63)).view(np.int64))
+        kinds, which = np.unique(h, return_inverse=True)  # words repeat, and sorted ones are found sooner
+        at = np.minimum(np.searchsorted(self.h, kinds), len(self.h) - 1)
+        return np.where(self.h[at] == kinds, at, (kinds | U(1 << 63)).view(np.int64))[which]
 
     def steps(self, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(contexts, words, text) of the tokens of a block, an end after each text's words."""
@@ -248,6 +249,17 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(u.view(np.uint64) + U(1)) + w.view(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
+def in_order(b: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of pairs by bucket, context and word, from one sort of one number each."""
+    kinds, code = np.unique(w, return_inverse=True)
+    bits = max(1, len(kinds).bit_length())
+    # a context is the word before it, or the first one
+    if 2 * bits + int(b.max(initial=0)).bit_length() > 62 or not np.array_equal(u[1:], w[:-1]) or u[0] not in kinds[np.searchsorted(kinds, u[:1]) % len(kinds)]:
+        return np.lexsort((w, u, b))
+    before = np.append(np.searchsorted(kinds, u[:1]), code[:-1])
+    return np.argsort((b << (2 * bits)) | (before << bits) | code)
+
+
 PAIRS = "bucket int, size int, u binary, w binary, n binary"
 
 
@@ -257,7 +269,7 @@ def pair_counter(lexicon):
     def flush(lex: Lexicon, u: list, w: list) -> pa.RecordBatch:
         u, w = np.concatenate(u), np.concatenate(w)
         b = lex.bucket(u, w)
-        order = np.lexsort((w, u, b))
+        order = in_order(b, u, w)
         u, w, b = u[order], w[order], b[order]
         new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
         n = np.diff(np.append(new, len(u)))
@@ -436,7 +448,7 @@ def occurrence_packer(lexicon, unit: float):
         def flush() -> pa.RecordBatch:
             a, b, c = np.concatenate(u), np.concatenate(w), np.concatenate(r)
             k = lex.bucket(a, b)
-            order = np.lexsort((b, a, k))
+            order = in_order(k, a, b)
             a, b, c, k = a[order], b[order], c[order] - first, k[order]
             some, cut = np.unique(k, return_index=True)
             rows = [(int(x), i, j) for x, i, j in zip(some, cut, np.append(cut[1:], len(k)), strict=True)]
@@ -503,16 +515,19 @@ def scorer(lexicon, model, kind: pa.DataType):
         for row in texts.filter(pc.is_valid(texts.column("size"))).to_pylist() if len(texts) else []:
             size = row["size"]
             a, b, r = unpacked(row["u"], size), unpacked(row["w"], size), unpacked(row["r"], size)
-            at = np.searchsorted(key, wanted := pair_key(a, b))
-            hit = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == wanted) if len(key) else np.zeros(size, bool)
+            # equal pairs stand together: each is looked up once
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            times, c, x = np.diff(np.append(new, size)), a[new], b[new]
+            at = np.searchsorted(key, wanted := pair_key(c, x))
+            hit = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == wanted) if len(key) else np.zeros(len(c), bool)
             pair = order[np.minimum(at, len(key) - 1)] if len(key) else at
-            where = np.minimum(np.searchsorted(mine, a), max(len(mine) - 1, 0))
-            where = np.where(mine[where] == a, where, len(mine)) if len(mine) else np.zeros(size, np.int64)
-            known = b >= 0
-            p = np.zeros(size)
+            where = np.minimum(np.searchsorted(mine, c), max(len(mine) - 1, 0))
+            where = np.where(mine[where] == c, where, len(mine)) if len(mine) else np.zeros(len(c), np.int64)
+            p = np.zeros(len(c))
             for i in range(s):
-                part = np.where(hit, share_a[i][pair], 0.0) if len(u) else np.zeros(size)
-                p += (part + share_b[i][where] * np.where(known, p0[i][np.maximum(b, 0)], 0.0)) / s
+                part = np.where(hit, share_a[i][pair], 0.0) if len(u) else np.zeros(len(c))
+                p += (part + share_b[i][where] * np.where(x >= 0, p0[i][np.maximum(x, 0)], 0.0)) / s
+            p, where, known = np.repeat(p, times), np.repeat(where, times), b >= 0
             rows = np.unique(r)
             sums = np.bincount(np.searchsorted(rows, r[known]), np.log10(np.maximum(p[known], 1e-300)), minlength=len(rows))
             m, none = len(rows), lambda k, t: pa.nulls(k, t)
