@@ -91,14 +91,13 @@ def fit(p: np.ndarray, n: np.ndarray, weight: np.ndarray, rounds: int = 40, clos
 
 def languages(model: Model, bucket: np.ndarray) -> tuple[list[int], np.ndarray]:
     """(language set, weights), the weights of languages out of the set being 0."""
-    n = np.bincount(bucket, minlength=1 << BITS)
-    at = np.flatnonzero(n)
-    p, n = model.p[:, at], n[at].astype(float)
+    at, n = np.unique(bucket, return_counts=True)
+    p, n = model.p[:, at], n.astype(float)
     live = np.arange(len(model.names))
     weight, like = fit(p, n, np.full(len(live), 1 / len(live)))
     price = 0.5 * np.log(n.sum())
     while len(live) > 1:
-        keep = np.delete(np.arange(len(live)), np.argmin(weight))
+        keep = np.delete(np.arange(len(live)), len(live) - 1 - np.argmin(weight[::-1]))  # of equal ones the last goes
         less = weight[keep] + 1e-9
         less, like_less = fit(p[live[keep]], n, less / less.sum())
         if like_less - price * (len(keep) - 1) < like - price * (len(live) - 1):

@@ -240,6 +240,16 @@ def test_repeated_texts_score_higher_than_the_base_tells(spark):
     assert got[held[3]].n_tokens == 200_001
 
 
+def test_scores_of_rows_that_share_an_id(spark):
+    """Each row is scored by itself; equal rows score alike, null ids are training rows."""
+    rows = [(i, f"one two three four {i % 5}") for i in range(40)] + [(3, "one two"), (3, "one two"), (3, None), (None, "one two")]
+    got = pitmanyor.score(spark.createDataFrame(rows, "doc_id long, text string"), frequent=100, bucket_tokens=5000).collect()
+    assert len(got) == len(rows)
+    pair = [r.score for r in got if r.n_tokens == 3]
+    assert len(pair) == 3 and pair[0] == pytest.approx(pair[1]) == pytest.approx(pair[2])
+    assert [r.n_tokens for r in got if r.doc_id == 3 and r.n_tokens == 1] == [1]
+
+
 def test_scores_without_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = pitmanyor.score(spark.createDataFrame([(held, "some words")], "doc_id long, text string")).collect()
@@ -269,6 +279,21 @@ def test_language_sets_of_mixed_and_odd_texts(spark):
     assert language.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_language_of_long_repeated_and_tied_texts(spark):
+    """A text over a block is judged like its parts, rows of one id each by itself, and equal languages by name."""
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    one, two = "der die das und nicht ist ein schöner tag ", "the and of this is not a nice day "
+    rows = [(train[i], (one if i % 2 else two) * 5, "de" if i % 2 else "en") for i in range(20)]
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows += [(held, one * 20_000, None), (held, two, None), (held, two, None), (None, one, None)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id is null or held_out").collect()
+    assert sorted(r.lang_pred for r in got) == ["de", "de", "en", "en"]
+    assert all(r.score > 0.99 for r in got)
+    same = [(train[i], "word another thing ", "b" if i % 2 else "a") for i in range(20)] + [(held, "another word", None)]
+    tied = language.identify(spark.createDataFrame(same, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert [r.lang_pred for r in tied] == ["a"]
+
+
 def test_language_sets_match_an_exhaustive_search():
     """Of all sets of four languages, the one found has the best penalised likelihood or nearly so."""
     import itertools
