@@ -252,4 +252,32 @@ def sql_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select doc_id, m.start, m.value from {docs} as d, lateral identifiers(text) as m where m.entity = 'EMAIL'", docs=table(spark, sf_dir, "documents"))
 
 
+_BARE = lambda x: f"regexp_replace({x}, '^[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+|[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+$', '', 'g')"
+
+#: Chunks as a fold over pieces: paragraphs, and the sentences of those of more than 1,500 bytes.
+_CHUNKED = f"""
+    with recursive para as (
+        select doc_id, i as para, {_BARE("parts[i]")} as p from (select doc_id, string_split(text, chr(10) || chr(10)) as parts from documents where text is not null), unnest(range(1, len(parts) + 1)) as t(i)),
+    solid as (select *, strlen(p) > 1500 as big from para where p != ''),
+    ends as (select doc_id, para, p, list_filter(list_transform(range(1, length(p) + 1), lambda i: case when contains('.?!', substring(p, i::int, 1)) then {{'pos': i::int, 'b': strlen(substring(p, 1, i::int))}} end), lambda e: e is not null) as e from solid where big),
+    cut(doc_id, para, p, e, n, lo, lo_b, piece) as (
+        select doc_id, para, p, e, 0, 0, 0::bigint, '' from ends
+        union all select doc_id, para, p, list_filter(e, lambda x: x.pos > hit), n + 1, hit, hit_b, substring(p, lo + 1, hit - lo)
+        from (select *, coalesce(f.pos, length(p)::int) as hit, coalesce(f.b, strlen(p)) as hit_b from (select *, list_filter(e, lambda x: x.b - lo_b > 50)[1] as f from cut where lo < length(p)))),
+    pieces as (
+        select doc_id, para, 0 as n, p as piece, false as big from solid where not big
+        union all select doc_id, para, n, {_BARE("piece")}, true from cut where n > 0 and {_BARE("piece")} != ''),
+    numbered as (
+        select *, row_number() over (partition by doc_id order by para, n) as i, row_number() over (partition by doc_id, para order by n) = 1 as first, row_number() over (partition by doc_id, para order by n desc) = 1 as last, strlen(piece) as bytes from pieces),
+    fold(doc_id, i, chunk, size, fresh) as (
+        select doc_id, 0::bigint, 0::bigint, 0::bigint, true from (select distinct doc_id from numbered)
+        union all select doc_id, i, chunk, case when last and size >= 500 then 0 else size end, fresh from (
+            select f.doc_id, p.i, p.last, f.size = 0 or flush as fresh, case when f.size = 0 or flush then f.chunk + 1 else f.chunk end as chunk,
+                case when f.size = 0 or flush then bytes else f.size + bytes + case when big then 1 else 2 end end as size
+            from fold f join (select * from numbered) p on p.doc_id = f.doc_id and p.i = f.i + 1, lateral (select f.size > 0 and (f.size + bytes > 1500 or (big and first)) as flush))),
+    joined as (select doc_id, chunk, string_agg(case when fresh then piece when big then ' ' || piece else chr(10) || chr(10) || piece end, '' order by i) as content from fold join numbered using (doc_id, i) group by 1, 2)
+    select doc_id, (chunk - 1)::int as chunk_index, strlen(content)::int as bytes, md5(content) as md5 from joined
+"""
+ORACLES["chunk_documents"] = _CHUNKED
+
 __all__ = ["ORACLES", "QUERIES"]
