@@ -14,7 +14,7 @@ from ..sources import extract
 from ..sources.markdown import markdown
 from .catalog import ORACLES, QUERIES, line_chunks, query
 from .rules_sql import _hits
-from .scope import scoped, table
+from .scope import SCOPE_SQL, scoped, table
 
 _DOCS = "p as (select doc_id as id, text from documents where text is not null)"
 _CARD = "[0-9０-９](?:[ \t－–—　·-]*[0-9０-９]){11,18}"
@@ -256,7 +256,7 @@ _BARE = lambda x: f"regexp_replace({x}, '^[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+|[\\s\\p
 
 #: Chunks as a fold over pieces: paragraphs, and the sentences of those of more than 1,500 bytes.
 _CHUNKED = f"""
-    with recursive para as (
+    para as (
         select doc_id, i as para, {_BARE("parts[i]")} as p from (select doc_id, string_split(text, chr(10) || chr(10)) as parts from documents where text is not null), unnest(range(1, len(parts) + 1)) as t(i)),
     solid as (select *, strlen(p) > 1500 as big from para where p != ''),
     ends as (select doc_id, para, p, list_filter(list_transform(range(1, length(p) + 1), lambda i: case when contains('.?!', substring(p, i::int, 1)) then {{'pos': i::int, 'b': strlen(substring(p, 1, i::int))}} end), lambda e: e is not null) as e from solid where big),
@@ -275,9 +275,29 @@ _CHUNKED = f"""
             select f.doc_id, p.i, p.last, f.size = 0 or flush as fresh, case when f.size = 0 or flush then f.chunk + 1 else f.chunk end as chunk,
                 case when f.size = 0 or flush then bytes else f.size + bytes + case when big then 1 else 2 end end as size
             from fold f join (select * from numbered) p on p.doc_id = f.doc_id and p.i = f.i + 1, lateral (select f.size > 0 and (f.size + bytes > 1500 or (big and first)) as flush))),
-    joined as (select doc_id, chunk, string_agg(case when fresh then piece when big then ' ' || piece else chr(10) || chr(10) || piece end, '' order by i) as content from fold join numbered using (doc_id, i) group by 1, 2)
-    select doc_id, (chunk - 1)::int as chunk_index, strlen(content)::int as bytes, md5(content) as md5 from joined
+    joined as (select doc_id, (chunk - 1)::int as chunk_index, string_agg(case when fresh then piece when big then ' ' || piece else chr(10) || chr(10) || piece end, '' order by i) as content from fold join numbered using (doc_id, i) group by 1, 2)
+"""
+ORACLES["chunk_documents"] = f"with recursive {_CHUNKED} select doc_id, chunk_index, strlen(content)::int as bytes, md5(content) as md5 from joined"
+
+_OPEN = f"(select document_id as doc_id, text from ({SCOPE_SQL}) where sanitization_state in ('sanitized', 'never') and tenant_id = 1 and data_level <= 'T3')"
+ORACLES["hybrid_topk"] = f"""
+    with recursive {_CHUNKED.replace("from documents where", f"from {_OPEN} where")},
+    q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0 and embedding is not null),
+    v as (select vec_id as doc_id, embedding::double[] as e from embeddings where embedding is not null),
+    near as (
+        select query_id, doc_id, round(list_cosine_similarity(e, q), 6) as score from q, v where doc_id in (select doc_id from joined where chunk_index = 0)
+        qualify row_number() over (partition by query_id order by round(list_cosine_similarity(e, q), 6) desc, doc_id) <= 10),
+    sem as (select query_id, doc_id, chunk_index, content, score from near join joined using (doc_id) qualify row_number() over (partition by query_id order by score desc, doc_id, chunk_index) <= 10),
+    padded as (select *, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t != ''), '  ') || ' ' as w from joined),
+    lex as (select doc_id, chunk_index, content, round(n / (n + 1.0), 6)::double as score from (select *, len(regexp_extract_all(w, ' of  the ')) as n from padded) where n > 0 order by score desc, doc_id, chunk_index limit 10),
+    legs as (select query_id, doc_id, chunk_index, content, score * 0.6::double as score, 0 as leg from sem union all select query_id, doc_id, chunk_index, content, score * 0.4::double, 1 from q, lex),
+    both_legs as (select query_id, content, round(sum(score), 6) as score, min({{'leg': leg, 'doc_id': doc_id, 'chunk_index': chunk_index}}) as spot from legs group by 1, 2),
+    top as (select query_id, spot.doc_id as document_id, spot.chunk_index as chunk_index, content, score, row_number() over (partition by query_id order by score desc, spot.doc_id, spot.chunk_index) as position from both_legs qualify position <= 10),
+    spent as (select *, coalesce(sum(length(content)) over (partition by query_id order by position rows between unbounded preceding and 1 preceding), 0)::bigint as used from top),
+    kept as (select *, left(content, greatest(3000 - used, 0)) as shown from spent where 3000 - used > 0),
+    marked as (select *, contains(lower(shown), 'the') as matched from kept)
+    select query_id, document_id, chunk_index, (row_number() over (partition by query_id order by matched desc, position))::int as rank, score, matched, length(shown)::int as chars
+    from marked where query_id in (select query_id from marked where matched)
 """
-ORACLES["chunk_documents"] = _CHUNKED
 
 __all__ = ["ORACLES", "QUERIES"]
