@@ -40,3 +40,13 @@ def test_a_long_word_and_many_planted_texts_are_gone_through_once(spark):
     rows = detect(spark.createDataFrame([(t,) for t in texts], "text string"), most=None).selectExpr("size(matches) as n").collect()
     assert rows[0].n == 1 and {r.n for r in rows[1:]} == {rows[1].n} and rows[1].n > 40
     assert time.time() - start < 15
+
+
+def test_a_card_glued_to_an_address_is_redacted_with_it(spark):
+    from docloom.plans.catalog import audit
+
+    docs = spark.createDataFrame([("a", "host 71.129.171.132 4815819516090933 end"), ("b", "71.129.171.132 4815819516090933 now x@y.org")], "source string, text string")
+    left = lambda **how: {(r.source, r.entity): (r.found, r.residual) for r in audit(docs, **how).collect()}
+    assert left()["a", "BANK_CARD"] == (0, 1)
+    assert {k: v[1] for k, v in left(again=3).items() if v[1]} == {}
+    assert left(again=3)["b", "EMAIL"] == (1, 0)
