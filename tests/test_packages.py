@@ -161,3 +161,14 @@ def test_edits_of_a_column(spark):
     rows = [(xml, "the seller", "a buyer"), (xml, "nobody", "x"), (None, "a", "b")]
     got = packages.edit_texts(spark.createDataFrame(rows, "x string, f string, r string"), "x", "f", "r").collect()
     assert [(r.refused, visible(r.accepted or "")) for r in got] == [(None, "pay a buyer now"), ("not found", "pay the seller now"), ("null", "")]
+
+
+def test_edited_texts_are_handed_on_in_small_batches():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(1000)), "x": ["<w:p><w:r><w:t>old text</w:t></w:r></w:p>"] * 999 + [None], "f": ["old"] * 1000, "r": ["new"] * 1000})
+    got = list(packages.editor(["x", "f", "r"])([batch]))
+    assert max(b.num_rows for b in got) <= packages.AT_ONCE < 1000
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["i"] for r in rows] == list(range(1000)) and rows[999]["refused"] == "null"
+    assert all("new" in r["accepted"] and "old" not in r["accepted"] for r in rows[:999])
