@@ -27,7 +27,13 @@ from .retrieve import _matrix, cosine, first_k, semantic_each
 
 CELLS = "cell int, document_id long, chunk_index int, residual binary, scale float, embedding array<float>"
 SAMPLE = 50_000  # vectors that centroids are fitted on
-BLOCK_BYTES = 64 << 20  # of queries that go to the tasks at once
+BLOCK_BYTES = 192 << 20  # of queries that go to the tasks at once, with the hits that a task holds for them
+HIT_BYTES = 28 * 6  # a held hit, and the copies while hits are sorted
+
+
+def blocks_of(queries: int, dim: int, probes: int, held: int) -> int:
+    """In how many blocks queries go to the tasks, when each brings ``held`` hits."""
+    return max(1, ceil(queries * (8 * (dim + probes) + held * HIT_BYTES) / BLOCK_BYTES))
 
 
 def assigner(centroids):
@@ -138,12 +144,12 @@ class VectorIndex:
         """(hits, touched): the k best of (query_id, q) among ``probes`` cells, and rows looked at by query.
 
         ``hits`` are (query_id, document_id, chunk_index, score) by exact cosine of the ``refine`` * k
-        best by residuals.  Queries go to the tasks in blocks of BLOCK_BYTES at most.
+        best by residuals.  Queries go to the tasks in blocks of BLOCK_BYTES at most, counting the hits held for them.
         """
         dim, sc = self.centroids.shape[1], self.spark.sparkContext
         given = written(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")).where(F.size("q") == dim), "queries")
         count = given.count()
-        blocks = max(1, ceil(count * 8 * (dim + probes) / BLOCK_BYTES))
+        blocks = blocks_of(count, dim, probes, refine * k)
         short, touched = None, None
         sizes = written(self.table.read().groupBy("cell").agg(F.count("*").alias("n")), "sizes")
         for i in range(blocks):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from docloom.operators import retrieve
+from docloom.operators import retrieve, vectors
 from docloom.operators.vectors import VectorIndex, recall
 
 CHUNK = "document_id long, chunk_index int, embedding array<float>"
@@ -51,3 +51,15 @@ def test_without_queries_or_rows(spark, tmp_path):
     assert index.search(asked.limit(0), 3)[0].count() == 0
     with pytest.raises(ValueError, match="no vector"):
         VectorIndex.create(spark.createDataFrame([], CHUNK), f"file://{tmp_path}/j")
+
+
+def test_held_hits_count_in_the_blocks_of_queries(spark, tmp_path, monkeypatch):
+    assert vectors.blocks_of(1_000_000, 64, 24, 80) * vectors.BLOCK_BYTES >= 1_000_000 * 80 * 28
+    index = VectorIndex.create(spark.createDataFrame(grouped(1), CHUNK), f"file://{tmp_path}/i")
+    index.add(spark.createDataFrame(grouped(1), CHUNK))
+    asked = spark.createDataFrame([(i, list(map(float, r[2]))) for i, r in enumerate(grouped(1)[::300])], "query_id long, q array<double>")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = [key(x) for x in index.search(asked, 3)]
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 4096)
+    assert vectors.blocks_of(asked.count(), 24, 8, 12) > 1
+    assert [key(x) for x in index.search(asked, 3)] == whole
