@@ -5,7 +5,7 @@
     select doc_id, m.* from documents, lateral identifiers(text) as m where cn_id_valid(m.value)
 
 Scalar functions are SQL bodies, which Spark inlines and optimises.  ``identifiers`` is a table
-function over one text; for whole tables ``detect`` is the faster way, as it stays in the JVM.
+function over one text; for whole tables ``detect`` is the faster way, with all rules.
 """
 
 from __future__ import annotations
