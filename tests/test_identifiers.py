@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,37 @@ def test_many_matches_are_counted_and_refused_by_name(spark):
     assert [len(r.matches) for r in detect(docs, codes=["EMAIL"], most=None).orderBy("doc_id").collect()] == [4200, 1]
     got = {r.entity: (r.found, r.residual) for r in catalog.audit(docs, ["EMAIL"]).collect()}
     assert got == {"EMAIL": (4201, 4200), "REFUSED": (1, 1)}
+
+
+def test_a_text_of_many_identifiers_goes_and_comes_back_soon(spark):
+    text = " ".join(f"user{i}@mail{i % 97}.org" for i in range(4000))
+    docs = spark.createDataFrame([(i, f"{i} {text}") for i in range(4)], "i int, text string")
+    _done(spark, ["a@b.com"]).collect()
+    start = time.time()
+    done = redact.redact(detect(docs, codes=["EMAIL"]), KEY).withColumn("vault", redact.mapping(F.col("applied")))
+    rows = done.select("text", "redacted", F.size("vault").alias("n"), redact.restore(F.col("redacted"), F.col("vault")).alias("back")).collect()
+    assert all(r.n == 4000 and r.back == r.text and "@" not in r.redacted for r in rows)
+    assert time.time() - start < 8
+
+
+def test_what_stays_in_the_text_and_which_of_two_goes(spark):
+    text = "EPA and Ministry of X met A; (2020)京01号 and 京02号 by Jo at 5:00"
+    at = lambda v, code, source="model", sure=0.9: (text.index(v), text.index(v) + len(v), code, v, sure, source)
+    found = [at("EPA", "ORG"), at("Ministry of X", "ORG"), at("A;", "ORG")[:1] + (text.index("A;") + 1, "PERSON", "A", 0.9, "model"), at("京01号", "CASE_NO"), at("京02号", "CASE_NO"), at("Jo", "PERSON", sure=0.5), at("Jo at", "PERSON", sure=0.6), at("Jo", "LOCATION", "pattern", 0.1), at("5:00", "CREDENTIAL", "pattern")]
+    docs = spark.createDataFrame([(text, found), (text, None), (text, [])], f"text string, matches {S.MATCH}")
+    rows = redact.redact(docs, KEY, public=["EPA"], vendors=["Ministry"]).collect()
+    assert [(a.original, a.entity) for a in rows[0].applied] == [("京02号", "CASE_NO"), ("Jo at", "PERSON"), ("5:00", "CREDENTIAL")]
+    assert rows[0].redacted == text.replace("京02号", rows[0].applied[0].token).replace("Jo at", rows[0].applied[1].token).replace("5:00", "") and rows[0].applied[2].token == ""
+    assert (rows[1].applied, rows[1].redacted) == (None, None) and (rows[2].applied, rows[2].redacted) == ([], text)
+
+
+def test_originals_that_hold_tokens_are_restored_in_order(spark):
+    cases = [
+        ("a [AA] [B]", {"[AA]": "x [B]", "[B]": "y"}, "a x y y"),  # longer ones first, and what they bring in
+        ("a [B] [AA]", {"[AA]": "x", "[B]": "[AA]"}, "a [AA] x"),  # but not what comes too late
+        ("[A[B]C]", {"[B]": "x", "[AxC]": "y"}, "[AxC]"), ("[A[BBB]C]", {"[BBB]": "", "[AC]": "y"}, "y"),
+        ("foo [B]", {"foo": "[B]", "[B]": "b"}, "[B] b"), ("[B]", {"[B]": "[B]"}, "[B]"), ("[B]", {"[B]": None}, None), ("[B]", {}, None), ("none", {}, "none"), ("x", None, None), (None, {}, None),
+    ]
+    rows = spark.createDataFrame([(i, t, v and {k: ("E", o) for k, o in v.items()} if v is not None else None) for i, (t, v, _) in enumerate(cases)], f"i int, text string, vault {redact.VAULT}")
+    got = {r.i: r.back for r in rows.select("i", redact.restore(F.col("text"), F.col("vault")).alias("back")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for *_, want in cases]
