@@ -50,3 +50,44 @@ def test_a_card_glued_to_an_address_is_redacted_with_it(spark):
     assert left()["a", "BANK_CARD"] == (0, 1)
     assert {k: v[1] for k, v in left(again=3).items() if v[1]} == {}
     assert left(again=3)["b", "EMAIL"] == (1, 0)
+
+
+def test_hits_at_the_ends_of_the_parts_that_are_searched_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import pyarrow as pa
+
+    far = "x. " * 60
+    address = "一" * 8 + "特别行政区" + "一" * 10 + "自治州" + "一" * 20 + "一" * 10 + "区" + "一" * 24 + "大道" + "一" * 20 + "12345号"
+    short = [address, "台湾居民来往大陆通行证：12345678", "旧行身份证号：110105491231002", "AB123456(A)", "1234567(8)", "EA1234567", "H1234567890", "S1234567D", "11010519491231002X", "11010519491231002 - X", "86 138 1234 5678", "900101-14-1234", "010-12345678", "255.255.255.255"]
+    texts = [a + t + b for t in short for a in ("", far, "1.", "7 ", "12345678 ") for b in ("", " " + far, ".", " 1234567")]
+    texts += [a + " " + b for a in short for b in short] + [far.join(short), "1.2.3.4.5.6.7.8 1234.5.6.7 1..2.3.4.5", "E12345678E12345678", "EE12345678"]
+    con = duckdb.connect()
+    con.register("p", pa.table({"id": range(len(texts)), "text": texts}))
+    want = sorted(con.sql(f"with recursive {matches('a', 'p')} select id, s, e, entity, v, source from am").fetchall())
+    rows = detect(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), most=None).collect()
+    assert sorted((r.id, m.start, m.end, m.entity, m.text, m.source) for r in rows for m in r.matches) == want and len(want) > 600
+
+
+def test_identifiers_behind_long_prose_are_searched_where_they_are():
+    import pyarrow as pa
+
+    from docloom.functions.finder import finder
+    from docloom.functions.spans import rules_for
+
+    texts = pa.array(["Lorem ipsum (dolor) sit amet, on the 12th of May. " * 8000 + PLANTS.replace("~~~~~~", "123456").replace("^^^^", "7890")] * 6)
+    find = finder(rules_for(None), None)
+    start = time.process_time()
+    assert min(len(m) for m in find(texts).field("matches").to_pylist()) > 40
+    assert time.process_time() - start < 0.7
+
+
+def test_many_tokens_are_told_from_what_is_left_soon(spark):
+    from docloom.operators import redact
+
+    texts = [f"{i} " + " ".join(f"user{k}@mail{k % 97}.org" for k in range(4000)) for i in range(4)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    redact.sanitize(docs.limit(1).selectExpr("'x' as text"), b"k", codes=["EMAIL"]).collect()
+    start = time.time()
+    rows = redact.sanitize(docs, b"k", codes=["EMAIL"]).selectExpr("verdict", "ledger.redaction_count as n").collect()
+    assert [tuple(r) for r in rows] == [("pass", 4000)] * 4
+    assert time.time() - start < 6
