@@ -91,3 +91,23 @@ def test_many_tokens_are_told_from_what_is_left_soon(spark):
     rows = redact.sanitize(docs, b"k", codes=["EMAIL"]).selectExpr("verdict", "ledger.redaction_count as n").collect()
     assert [tuple(r) for r in rows] == [("pass", 4000)] * 4
     assert time.time() - start < 6
+
+
+def test_short_codes_and_tokens_are_gone_through_once(spark):
+    import pyarrow as pa
+
+    from docloom.functions.finder import finder
+    from docloom.functions.spans import rules_for
+    from docloom.plans.catalog import audit
+
+    find, texts = finder(rules_for(["USCC"]), None), pa.array(["[CN_ID_0123456789ABCDEF] " * 8000 + "91350100M000100Y43"] * 2)
+    start = time.process_time()
+    assert find(texts).field("n").to_pylist() == [1, 1]
+    assert time.process_time() - start < 0.4
+    cards = [("a", " now ".join(f"{4111111111111111 + k}" for k in range(4000))) for _ in range(4)]
+    docs = spark.createDataFrame([*cards, ("b", "91350100M000100Y43 a@b.com")], "source string, text string")
+    audit(docs.limit(0), None).collect()
+    start = time.time()
+    got = {(r.source, r.entity): (r.found, r.residual) for r in audit(docs, None).collect()}
+    assert got == {("a", "BANK_CARD"): (16000, 0), ("b", "USCC"): (1, 0), ("b", "EMAIL"): (1, 0)}
+    assert time.time() - start < 6
