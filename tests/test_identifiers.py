@@ -156,3 +156,31 @@ def test_originals_that_hold_tokens_are_restored_in_order(spark):
     rows = spark.createDataFrame([(i, t, v and {k: ("E", o) for k, o in v.items()} if v is not None else None) for i, (t, v, _) in enumerate(cases)], f"i int, text string, vault {redact.VAULT}")
     got = {r.i: r.back for r in rows.select("i", redact.restore(F.col("text"), F.col("vault")).alias("back")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for *_, want in cases]
+
+
+def test_one_function_gives_what_the_three_steps_give(spark):
+    texts = [None if i % 7 == 0 else "a@b.com " * 4200 if i == 300 else f"mail u{i}@b.com and 10.0.0.{i % 256} 4111 1111 1111 {i % 10000:04d}" for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    steps = redact.verify(redact.redact(detect(docs), KEY))
+    whole = redact.detect_and_redact(docs, KEY, whole="every")
+    assert whole.drop("every").columns == steps.columns
+    assert whole.drop("every").orderBy("n").collect() == steps.orderBy("n").collect()
+    refused = whole.where("n = 300").first()
+    assert len(refused.every) == 4200 and (refused.matches, refused.applied, refused.redacted, refused.residue, refused.verdict) == (None, None, None, None, "block")
+    assert redact.detect_and_redact(docs.limit(0), KEY).collect() == []
+
+
+def test_matches_of_few_rows_are_held_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docloom.functions.redactor import chain
+
+    texts = pa.array([" ".join(f"u{i}k{k}@b.com" for k in range(40)) for i in range(6000)])
+    run = chain(S.rules_for(["EMAIL"]), KEY, None, 4096)
+    tracemalloc.start()
+    out = run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 6000 and peak < 60_000_000
